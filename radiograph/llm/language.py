@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _UPPER_TO_LOWER, remainder, row_slices, text_bytes
 
@@ -107,17 +108,20 @@ def sample(documents: DataFrame, folds: int = 5) -> list[tuple[str, str]]:
     return out
 
 
-def identify(documents: DataFrame, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of documents(doc_id, text, lang); score is between 0 and 1."""
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+def with_language(documents: DataFrame, folds: int = 5) -> DataFrame:
+    """documents(doc_id, text, lang, ...) with lang_pred and score; score is between 0 and 1."""
+    documents = documents.drop("lang_pred", "score")
     learned = sample(documents, folds)
     model = trained([t for _, t in learned], [x for x, _ in learned]) if learned else None
 
+    place = documents.columns.index("text")
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(place))
             for lo, hi in row_slices(offsets):
-                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(place).to_pylist()
                 named, sure = ["und"] * (hi - lo), np.zeros(hi - lo)
                 if model is not None:
                     scores = model.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -125,7 +129,13 @@ def identify(documents: DataFrame, folds: int = 5) -> DataFrame:
                         if text and any(c.isalpha() for c in text):
                             k = int(scores[i].argmax())
                             named[i], sure[i] = model.languages[k], 1 / (1 + np.exp(-4 * float(scores[i, k])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(named), pa.array(sure)], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named), pa.array(sure)], names=[*part.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return documents.mapInArrow(judge, schema)
 
-    judged = documents.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double")
-    return judged.select("doc_id", (remainder("doc_id", folds) == 0).alias("held_out"), "lang_pred", "score")
+
+def identify(documents: DataFrame, folds: int = 5) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row of documents(doc_id, text, lang)."""
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return with_language(documents, folds).select("doc_id", (remainder("doc_id", folds) == 0).alias("held_out"), "lang_pred", "score")

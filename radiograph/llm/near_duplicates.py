@@ -205,3 +205,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "n_shingles").join(whole, signed["doc_id"] == whole["node"], "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of documents whose doc_id is not among ids(doc_id), each one once; rows without doc_id stay."""
+    return documents.join(bounded(written(ids, "gone"), BROADCAST_IDS), "doc_id", "left_anti")
