@@ -52,13 +52,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `most` bytes each; a longer row stands alone."""
+def row_slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int = 2_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `most` bytes and at most so many rows each; a longer row stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(n, lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1))
+        yield lo, hi
+        lo = hi
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

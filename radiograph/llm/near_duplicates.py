@@ -4,10 +4,10 @@ A document's signature has 60 symbols of 16 bits (MinHash minima cut to b bits)
 that differ in at most 29 symbols agree, by the pigeonhole principle, on some chunk up to one error; each chunk is
 therefore entered four times, each time without another of its symbols, and a plain equality join on these entries
 meets every pair under the threshold. At a Jaccard similarity of 0.75 a pair differs in more than 29 symbols with a
-probability of about 1e-5, and even then most often still shares an entry. 192 further symbols of four bits sharpen
-the distance before the links are confirmed on the full shingle sets.
+probability of about 1e-5, and even then most often still shares an entry. 192 further symbols of four bits
+and a parity bitmap sharpen the distance before the links are confirmed on the full shingle sets.
 
-Copies of a text are one class. Within an entry each member is first tried with one hub only; members that end in
+Copies of a text are one class. Within an entry each member is first tried with its nearest hubs only; members that end in
 different components afterwards are tried against each other, so that no link between different texts is lost while a
 group of near copies is never paired out.
 
@@ -31,8 +31,12 @@ SHINGLE_WORDS = 5
 CHUNKS, CHUNK_SYMBOLS, NIBBLES = 15, 4, 192
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 FINE = NIBBLES // 16
+#: Longs of a bitmap in which each shingle flips one bit: two bitmaps differ in no more bits than the sets in shingles.
+PARITY = 16
 #: Of the 192 four-bit symbols: mean and 5.3 standard deviations at a similarity of 0.75.
 MOST_DIFFERENT = 76
+#: Hubs with which each member is tried first: the nearest of at most one for each of its entries.
+HUBS = 3
 #: Ids up to which the documents to confirm are picked by a broadcast; beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 2**32, SYMBOLS + NIBBLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -92,7 +96,16 @@ def packed(minima: np.ndarray) -> np.ndarray:
     return np.concatenate([a, b], 1).view(np.int64)
 
 
-_LONGS = [f"s{i}" for i in range(CHUNKS + FINE)]
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Each set's parity bitmap as 16 longs."""
+    bits = 64 * PARITY
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
+    odd = (np.bincount(rows * bits + place, minlength=len(sets) * bits) & 1).astype(np.uint8).reshape(len(sets), bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+_LONGS = [f"s{i}" for i in range(CHUNKS + FINE + PARITY)]
 _SIGNED = f"doc_id long, n_shingles long, k1 long, k2 long, {', '.join(f'{c} long' for c in _LONGS)}"
 
 
@@ -104,7 +117,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             longs = np.zeros((hi - lo, len(_LONGS)), np.int64)
-            longs[full] = packed(signatures([sets[i] for i in full]))
+            own = [sets[i] for i in full]
+            longs[full] = np.concatenate([packed(signatures(own)), parities(own)], 1)
             columns = [batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(longs[:, i]) for i in range(longs.shape[1]))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", *_LONGS])
 
@@ -132,6 +146,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
 
+def _near(x: str, y: str) -> str:
+    """Whether two signatures may belong to similar sets, as SQL.
+
+    Similar sets of n and m shingles differ in at most (n + m) / 7 of them, so that their parity bitmaps differ in no
+    more bits: this never drops a link, and is sharp for short texts. The four-bit symbols are sharp for long ones.
+    """
+    parity = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(CHUNKS + FINE, CHUNKS + FINE + PARITY))
+    return f"7 * ({parity}) <= {x}.n_shingles + {y}.n_shingles and {_unequal(x, y)} <= {MOST_DIFFERENT}"
+
+
 def _unequal(x: str, y: str) -> str:
     """In how many of their four-bit symbols two signatures differ, as SQL."""
     def one(i: int) -> str:
@@ -184,8 +208,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     stars = shared.where("doc_id <> hub").select("doc_id", "hub").distinct()
     x, y = signs.alias("x"), signs.alias("y")
     tried = stars.join(x, F.col("x.doc_id") == stars["doc_id"]).join(y, F.col("y.doc_id") == stars["hub"])
-    tried = tried.select(stars["doc_id"].alias("b"), stars["hub"].alias("a"), F.expr(_unequal("x", "y")).alias("d")).where(F.col("d") <= MOST_DIFFERENT)
-    first = tried.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
+    tried = tried.select(stars["doc_id"].alias("b"), stars["hub"].alias("a"), F.expr(_unequal("x", "y")).alias("d"), F.expr(_near("x", "y")).alias("near")).where("near")
+    nearest = F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, HUBS)
+    first = tried.groupBy("b").agg(nearest.alias("hubs")).select(F.explode("hubs.a").alias("a"), "b")
     links = confirmed(first, documents)
     labels = connected_components(links).checkpoint()
 
@@ -196,8 +221,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     open_rows = written(named_entries.join(mixed_entries, "entry").join(signs, "doc_id"), "open").select(solid)
     left, right = open_rows.where("label <> most").alias("x"), open_rows.alias("y")
     rest = left.join(right, (F.col("x.entry") == F.col("y.entry")) & F.expr(
-        f"x.label <> y.label and (y.label = y.most or x.doc_id < y.doc_id) and {_first_entry('x', 'y')} = x.nth"
-        f" and 4 * x.n_shingles >= 3 * y.n_shingles and 4 * y.n_shingles >= 3 * x.n_shingles and {_unequal('x', 'y')} <= {MOST_DIFFERENT}"
+        f"x.label <> y.label and (y.label = y.most or x.doc_id < y.doc_id) and 4 * x.n_shingles >= 3 * y.n_shingles and 4 * y.n_shingles >= 3 * x.n_shingles"
+        f" and {_near('x', 'y')} and {_first_entry('x', 'y')} = x.nth"
     )).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     more = confirmed(rest, documents)
 
