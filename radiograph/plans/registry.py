@@ -1,11 +1,181 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names
+from ..operators import changes, clusters, graph, naming, statistics
+from ..sources.tables import GRAPH_SQL, catalog, edges, nodes, table
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _prop(s: SparkSession, d: str) -> DataFrame:
+    return graph.propagation(edges(s, d))
+
+
+def _reached(s: SparkSession, d: str, roots: DataFrame, depth: int, least: int = 0) -> DataFrame:
+    out = graph.blast_radius(_prop(s, d), roots, depth, least)
+    types = F.col("types")
+    return out.select("root", "node", "c4", F.col("depth").cast("long").alias("depth"), names.tier(types, F.col("c4")).alias("tier"), names.evidence_chain(types).alias("evidence"), F.array_join("path", " > ").alias("path"))
+
+
+def _one_root(s: SparkSession, node: str) -> DataFrame:
+    return s.range(1).select(F.lit(node).alias("root"))
+
+
+def _nation_roots(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("root"))
+
+
+def _supplier_impact(s: SparkSession, d: str) -> DataFrame:
+    roots = table(s, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("root"))
+    return changes.impact_summary(graph.blast_radius(_prop(s, d), roots, 1), nodes(s, d))
+
+
+def _touches(s: SparkSession, d: str) -> DataFrame:
+    line, part = table(s, d, "lineitem"), table(s, d, "part")
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("group"), F.col("p_brand").alias("item"))
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return clusters.cooccurrence(_touches(s, d))
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select(F.col("p_brand").alias("node"), F.expr("cast(regexp_extract(p_brand, '([0-9]+)', 1) as bigint) % 5").alias("community")).distinct()
+
+
+def _prefix_pairs(s: SparkSession, d: str) -> DataFrame:
+    words = table(s, d, "part").select(F.split("p_name", " ")[0].alias("group"), F.col("p_brand").alias("item"))
+    return clusters.cooccurrence(words)
+
+
+def _words(s: SparkSession, d: str) -> DataFrame:
+    text = table(s, d, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    return text.where("length(w) between 2 and 40").distinct()
+
+
+def _stems(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")).alias("stem")).distinct()
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    return _stems(s, d).union(_words(s, d)).distinct().select("stem", F.explode(names.candidate_tables(F.col("stem"))).alias("c")).select("stem", "c.name", "c.m10")
+
+
+def _predictions(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").join(table(s, d, "labels"), "doc_id")
+    return docs.select((F.expr("n_chars % 997") / F.lit(997.0)).alias("p"), F.col("quality").cast("long").alias("actual"), "lang", "toxic")
+
+
+def _declared(s: SparkSession, d: str) -> DataFrame:
+    e = naming.infer(*catalog(s, d)).where("length(source) % 2 = 0").select("source", "target", F.lit("declared_fk").alias("type"), F.lit(10000).cast("long").alias("c4"))
+    return e
+
+
+def _inferred(s: SparkSession, d: str) -> DataFrame:
+    return naming.infer(*catalog(s, d)).where("length(target) % 3 > 0").select("source", "target", F.lit("inferred_naming").alias("type"), "c4")
+
+
+def _sql_references(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select("doc_id", names.sql_tables(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.posexplode("t").alias("place", "table_name")).select("doc_id", F.col("place").cast("long").alias("place"), "table_name")
+
+
+def _line_kinds(s: SparkSession, d: str) -> DataFrame:
+    code = [F.lit('cursor.execute("SELECT * FROM '), F.lit("cursor.execute(query_"), F.lit("session.query(")]
+    lines = table(s, d, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("n", "line"))
+    lines = lines.select("page_id", "n", F.when(F.col("n") % 3 == 0, F.concat(code[0], "line")).when(F.col("n") % 3 == 1, F.concat(code[1], F.col("n").cast("string"), F.lit(")"))).otherwise(F.concat(code[2], "line")).alias("line"))
+    return lines.groupBy("page_id", names.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _paths(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    whole = table(s, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    changed = table(s, d, "pages").where("page_id % 5 = 0").select(F.regexp_replace("url", "^[a-z]+://[^/]+", ".").alias("path"))
+    return whole, changed
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    texts = table(s, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    words = table(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("name")).where("length(name) >= 8")
+    return changes.mentions(texts, words)
+
+
+def _affected(s: SparkSession, d: str) -> DataFrame:
+    """Orders are functions whose file is a page's path; what changes is every fifth page."""
+    _, changed = _paths(s, d)
+    pages = table(s, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]+", ".").alias("file"))
+    functions = table(s, d, "orders").join(pages, F.col("o_orderkey") == F.col("page_id")).select(F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("id"), "file")
+    return changes.affected_tables(changed, functions, edges(s, d), nodes(s, d).where("type = 'table'"))
+
+
+def _reconciled(s: SparkSession, d: str) -> DataFrame:
+    tables = table(s, d, "part").select(F.concat(F.lit("table:"), F.lower("p_type"), F.lit("."), F.lower("p_name")).alias("id"), F.lower("p_name").alias("name"), F.col("p_partkey").alias("seq"))
+    calls = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("table:"), "p_name")).otherwise(F.concat(F.lit("table:"), F.lower("p_type"), F.lit("."), "p_name")).alias("target"))
+    return graph.reconciled(calls, tables).groupBy("target").agg(F.count("*").alias("n"))
+
+
+def _targets(s: SparkSession, d: str) -> DataFrame:
+    wanted = table(s, d, "supplier").select(F.lower("s_name").alias("target")).union(table(s, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))))
+    wanted = wanted.union(table(s, d, "nation").select("n_name")).union(table(s, d, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("x")))).union(s.range(1).select(F.lit("unresolved")))
+    return graph.resolve_targets(nodes(s, d), wanted)
+
+
+def _tiers(s: SparkSession, d: str) -> DataFrame:
+    out = graph.blast_radius(_prop(s, d), _nation_roots(s, d), 2)
+    types = F.col("types")
+    return out.groupBy(names.tier(types, F.col("c4")).alias("tier"), names.evidence_chain(types).alias("evidence")).agg(F.count("*").alias("n"), F.sum("c4").alias("total_c4"))
+
+
+def _louvain(s: SparkSession, d: str) -> DataFrame:
+    return clusters.communities(_pairs(s, d))
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "blast_radius_nation": lambda s, d: _reached(s, d, _one_root(s, "nation:3"), 3),
+        "blast_radius_min_conf": lambda s, d: _reached(s, d, _one_root(s, "nation:3"), 3, 9500),
+        "blast_radius_multi_root": lambda s, d: _reached(s, d, _nation_roots(s, d), 2),
+        "change_impact_summary": _supplier_impact,
+        "tier_distribution": _tiers,
+        "parallel_edge_collapse": lambda s, d: _prop(s, d),
+        "resolve_target": _targets,
+        "node_breakdown": lambda s, d: nodes(s, d).groupBy("type").agg(F.count("*").alias("n")),
+        "edge_breakdown": lambda s, d: edges(s, d).groupBy("type").agg(F.count("*").alias("n")),
+        "graph_metrics": lambda s, d: graph.metrics(edges(s, d)),
+        "blind_spots": lambda s, d: graph.blind_spots(nodes(s, d), edges(s, d)),
+        "unreferenced_tables": lambda s, d: graph.unreferenced(nodes(s, d), edges(s, d)),
+        "reconcile_targets": _reconciled,
+        "pluralize": lambda s, d: _words(s, d).select("w", names.pluralize(F.col("w")).alias("plural")),
+        "singularize": lambda s, d: _words(s, d).select("w", names.singularize(F.col("w")).alias("singular")),
+        "candidate_names": _candidates,
+        "infer_naming": lambda s, d: naming.infer(*catalog(s, d)),
+        "merge_agreement": lambda s, d: naming.merge(_declared(s, d), _inferred(s, d)),
+        "merge_dedup": lambda s, d: naming.merge(_declared(s, d), _inferred(s, d), True),
+        "merge_stats": lambda s, d: naming.merge_stats(_declared(s, d), _inferred(s, d)),
+        "sql_table_refs": _sql_references,
+        "line_classifier": _line_kinds,
+        "path_suffix_match": lambda s, d: changes.suffix_matches(*_paths(s, d)),
+        "sql_file_mentions": _mentions,
+        "affected_tables": _affected,
+        "cooccurrence_projection": _pairs,
+        "prefix_pairs": _prefix_pairs,
+        "weighted_degree_hub": lambda s, d: clusters.degrees(_pairs(s, d)),
+        "cluster_density": lambda s, d: clusters.density(_pairs(s, d), _labels(s, d)),
+        "modularity_q": lambda s, d: clusters.modularity(_pairs(s, d), _labels(s, d)),
+        "adjusted_rand_index": lambda s, d: clusters.adjusted_rand_index(table(s, d, "orders").select(F.col("o_orderstatus").alias("t"), F.col("o_orderpriority").alias("p"))),
+        "communities": _louvain,
+        "brier": lambda s, d: statistics.brier(_predictions(s, d)),
+        "calibration_curve": lambda s, d: statistics.calibration_curve(_predictions(s, d)),
+        "precision_by_type": lambda s, d: statistics.by_type(_predictions(s, d).select(F.col("lang").alias("kind"), F.when(F.col("toxic") == 0, F.col("actual") == 1).alias("actual"))),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.statements(GRAPH_SQL)
