@@ -169,10 +169,27 @@ class ByteModel:
         return sums[begin + np.diff(offsets) + 1] - sums[begin]
 
 
+def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most so many: all above a level, so that no task sorts or gathers them.
+
+    Levels are sixteenths of a power of two; there are at most a thousand, whatever the input.
+    """
+    level = F.floor(F.log2(F.col(count)) * 16)
+    sizes = {r["level"]: r["size"] for r in rows.groupBy(level.alias("level")).agg(F.count("*").alias("size")).collect()}
+    least, held = max(sizes, default=0) + 1, 0
+    for at in sorted(sizes, reverse=True):
+        held += sizes[at]
+        if held > most:
+            break
+        least = at
+    return rows.where(level >= least)
+
+
 def byte_table(counted: DataFrame, most: int = MOST_CONTEXTS) -> pd.DataFrame:
-    """The trie's counts: at most `most` contexts of three bytes (most frequent first, then smallest), and all shorter ones."""
+    """The trie's counts: at most `most` contexts of three bytes, the most frequent, and all shorter ones."""
     own = counted.where("kind = 1")
-    contexts = own.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "context").limit(most).select("context")
+    contexts = own.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("t"))
+    contexts = most_frequent(contexts, "t", most).select("context")
     deep = own.withColumn("context", F.shiftright("key", 8)).join(F.broadcast(contexts), "context", "left_semi").select("key", "n", F.lit(True).alias("whole"))
     shallow = own.groupBy(F.expr("key & 16777215L").alias("key")).agg(F.sum("n").alias("n")).withColumn("whole", F.lit(False))
     return deep.unionByName(shallow).toArrow().to_pandas()
@@ -185,7 +202,7 @@ def score(documents: DataFrame) -> DataFrame:
     counted = written(documents.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counted")
     tokens = counted.where("kind = 0").select(F.col("key").alias("token"), "n")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = tokens.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().to_pandas()
+    frequent = most_frequent(tokens, "n", FREQUENT).toArrow().to_pandas()
     frequent["token"] = frequent["token"].to_numpy(np.int64).view(np.uint64)
     frequent = frequent.sort_values("token")
     sent = spark.sparkContext.broadcast((ByteModel(byte_table(counted)), frequent["token"].to_numpy(), np.log10(frequent["n"].to_numpy(float) + 0.1)))
