@@ -31,8 +31,8 @@ SAMPLE_ROWS = 10_000
 def learned_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection): principal axes times the rotation that iterative quantisation finds."""
     mean = x.mean(0)
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
-    axes = axes[:bits].T
+    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
+    axes = axes[:, ::-1][:, :bits]
     if axes.shape[1] < bits:  # fewer dimensions than bits: random directions for the rest
         extra = np.random.default_rng(seed).normal(size=(x.shape[1], bits - axes.shape[1]))
         axes = np.concatenate([axes, extra / np.linalg.norm(extra, axis=0)], 1)
