@@ -93,19 +93,20 @@ def trained(texts: list[str], languages: list[str]) -> KernelModel:
 
 
 def sample(documents: DataFrame, folds: int = 5) -> list[tuple[str, str]]:
-    """(lang, text): for each language the labelled training rows with the smallest hashes, up to the bound."""
-    rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", folds) != 0))
+    """(lang, text): for each language the labelled training rows with the smallest hashes, up to the bound.
+
+    The hashes' bounds are found first, so that no text but the sample's own reaches the driver.
+    """
+    rows = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", folds) != 0))
+    hashed = rows.select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h"))
     languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(256).collect()]
-    share = max(1, documents.count() // (ROWS_PER_LANGUAGE * 40))
-    thin = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    out = []
+    picked = F.lit(False)
     for language in languages:
         own = F.col("lang") == language
-        got = thin.where(own).orderBy(F.xxhash64("doc_id"), "text").limit(ROWS_PER_LANGUAGE).select("lang", "text").collect()
-        if len(got) < ROWS_PER_LANGUAGE // 4:
-            got = rows.where(own).orderBy(F.xxhash64("doc_id"), "text").limit(ROWS_PER_LANGUAGE).select("lang", "text").collect()
-        out += [(r["lang"], r["text"]) for r in got]
-    return out
+        most = hashed.where(own).select("h").orderBy("h").limit(ROWS_PER_LANGUAGE).agg(F.max("h")).first()[0]
+        picked = picked | (own & (F.col("h") <= most))
+    got = hashed.where(picked).limit(2 * ROWS_PER_LANGUAGE * max(1, len(languages))).select("lang", "text", "h").collect()
+    return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["h"], r["text"]))]
 
 
 def with_language(documents: DataFrame, folds: int = 5) -> DataFrame:
