@@ -174,22 +174,24 @@ def test_language(spark):
 @pytest.mark.parametrize("frequent", [1 << 19, 40])
 def test_scores(spark, prose, monkeypatch, frequent):
     monkeypatch.setattr(scoring, "FREQUENT", frequent)
+    monkeypatch.setattr(scoring, "FREQUENT_GRAMS", frequent)
+    depth = scoring.DEPTH
     rows = [x for x in prose if len(x[1] or "") < 5_000 and x[0] is not None and x[0] != 183]
     got = {r["doc_id"]: r for r in scoring.score(documents(spark, rows)).collect()}
     train = [(t or "").translate(LOW) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
     c = collections.Counter(w for t in train for w in [*WORD.findall(t), "\0end"])
     n, v = sum(c.values()), len(c)
-    counts = [collections.defaultdict(collections.Counter) for _ in range(4)]
+    counts = [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
     for t in train:
-        b = b"\0\0\0" + t.encode() + b"\0"
-        for k in range(3, len(b)):
-            for o in range(4):
+        b = b"\0" * depth + t.encode() + b"\0"
+        for k in range(depth, len(b)):
+            for o in range(depth + 1):
                 counts[o][b[k - o : k]][b[k]] += 1
 
     def log10p(context, symbol):
         excluded, mass = set(), 1.0
-        for o in range(3, -1, -1):
-            own = {a: m for a, m in counts[o].get(context[3 - o :], {}).items() if a not in excluded}
+        for o in range(depth, -1, -1):
+            own = {a: m for a, m in counts[o].get(context[depth - o :], {}).items() if a not in excluded}
             if own:
                 total, kinds = sum(own.values()), len(own)
                 if symbol in own:
@@ -199,10 +201,10 @@ def test_scores(spark, prose, monkeypatch, frequent):
 
     for i, t in rows[::7] + rows[-4:]:
         t = (t or "").translate(LOW)
-        w, b = [*WORD.findall(t), "\0end"], b"\0\0\0" + t.encode() + b"\0"
+        w, b = [*WORD.findall(t), "\0end"], b"\0" * depth + t.encode() + b"\0"
         assert got[i]["n_tokens"] == len(w) and got[i]["n_known"] == sum(c[x] > 0 for x in w) and got[i]["train_tokens"] == n
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
-        assert got[i]["score"] == pytest.approx(sum(log10p(b[k - 3 : k], b[k]) for k in range(3, len(b))), rel=1e-5)
+        assert got[i]["score"] == pytest.approx(sum(log10p(b[k - depth : k], b[k]) for k in range(depth, len(b))), rel=1e-9)
 
 
 def test_decontamination(spark):
