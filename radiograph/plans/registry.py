@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import changes, clusters, graph, naming, statistics
-from ..sources.tables import GRAPH_SQL, catalog, edges, nodes, table
+from ..operators import changes, clusters, graph, naming, relations, statistics
+from ..sources.tables import GRAPH_SQL, KIND, catalog, edges, nodes, table
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +137,37 @@ def _louvain(s: SparkSession, d: str) -> DataFrame:
     return clusters.communities(_pairs(s, d))
 
 
+def _code_nodes(s: SparkSession, d: str) -> DataFrame:
+    return nodes(s, d).where("type in ('function', 'view')").select((F.col("seq") + 9 * KIND).alias("seq"), "id", F.lit("function").alias("type"), F.concat(F.lit("code:"), "name").alias("name"))
+
+
+def _supplier_roots(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("root"))
+
+
+def _ranking(s: SparkSession, d: str) -> DataFrame:
+    return relations.ranked(graph.blast_radius(_prop(s, d), _nation_roots(s, d), 2), nodes(s, d), 3)
+
+
+def _evaluation(s: SparkSession, d: str) -> DataFrame:
+    """Labelled: the customers and suppliers of each nation; two thirds of them are expected, the others negative controls."""
+    parts = [
+        table(s, d, t).select(F.concat(F.lit("nation:"), F.col(f"{c}_nationkey").cast("string")).alias("root"), F.concat(F.lit(f"{t}:"), F.col(f"{c}_{k}").cast("string")).alias("node"), (F.col(f"{c}_{k}") % 3 != 0).alias("expected"))
+        for t, c, k in (("customer", "c", "custkey"), ("supplier", "s", "suppkey"))
+    ]
+    return relations.evaluated(parts[0].unionByName(parts[1]), graph.blast_radius(_prop(s, d), _nation_roots(s, d), 1, 9500))
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "pages").select(F.col("page_id").alias("path"), F.posexplode(F.split("html", "\n")).alias("n", "line"))
+    held = relations.enclosing(lines, F.col("line").contains("<p") | F.col("line").contains("<div"))
+    return held.groupBy(F.col("path").alias("page_id"), F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n"))
+
+
+def _merged_catalog(s: SparkSession, d: str) -> DataFrame:
+    return relations.merged_catalog(table(s, d, "part").select((F.col("p_partkey") % 3).alias("rank"), F.col("p_partkey").alias("seq"), F.col("p_type").alias("table"), F.col("p_name").alias("column"), F.col("p_brand").alias("type")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "blast_radius_nation": lambda s, d: _reached(s, d, _one_root(s, "nation:3"), 3),
@@ -171,6 +202,16 @@ def queries() -> dict[str, Query]:
         "modularity_q": lambda s, d: clusters.modularity(_pairs(s, d), _labels(s, d)),
         "adjusted_rand_index": lambda s, d: clusters.adjusted_rand_index(table(s, d, "orders").select(F.col("o_orderstatus").alias("t"), F.col("o_orderpriority").alias("p"))),
         "communities": _louvain,
+        "assemble_nodes": lambda s, d: relations.assembled(nodes(s, d), _code_nodes(s, d)),
+        "dangling_edges": lambda s, d: relations.without_dangling(edges(s, d), nodes(s, d).where("type <> 'view'")).groupBy("type").agg(F.count("*").alias("n")),
+        "one_hop_impact": lambda s, d: relations.one_hop(edges(s, d), _supplier_roots(s, d)),
+        "neighbourhood": lambda s, d: relations.neighbourhood(edges(s, d), _nation_roots(s, d)),
+        "isolated_nodes": lambda s, d: relations.isolated(nodes(s, d).where("id like 'customer:%'"), edges(s, d).where("type = 'orm_call'")).select("id", "name"),
+        "impact_ranking": _ranking,
+        "benchmark_scores": _evaluation,
+        "catalog_merge": _merged_catalog,
+        "lens_titles": lambda s, d: relations.lens_titles(_touches(s, d)),
+        "enclosing_blocks": _blocks,
         "brier": lambda s, d: statistics.brier(_predictions(s, d)),
         "calibration_curve": lambda s, d: statistics.calibration_curve(_predictions(s, d)),
         "precision_by_type": lambda s, d: statistics.by_type(_predictions(s, d).select(F.col("lang").alias("kind"), F.when(F.col("toxic") == 0, F.col("actual") == 1).alias("actual"))),

@@ -145,6 +145,24 @@ def statements(graph: str) -> dict[str, str]:
         "adjusted_rand_index": """with c as (select o_orderstatus as t, o_orderpriority as p, count(*)::double as n from orders group by 1, 2), s as (select sum(n * (n - 1) / 2) as both_, sum(n) as total from c),
           a as (select sum(n * (n - 1) / 2) as a from (select sum(n) as n from c group by t)), b as (select sum(n * (n - 1) / 2) as b from (select sum(n) as n from c group by p))
           select round((both_ - a * b / (total * (total - 1) / 2)) / ((a + b) / 2 - a * b / (total * (total - 1) / 2)), 6) as ari from s, a, b""",
+        "assemble_nodes": f"""with {graph}, b as (select 0 as layer, * from nodes union all select 1, seq + 9000000000000000, id, 'function', 'code:' || name from nodes where type in ('function', 'view'))
+          select id, first(type order by layer desc, seq desc, type desc, name desc) as type, first(name order by layer desc, seq desc, type desc, name desc) as name, min(seq) as seq from b group by id""",
+        "dangling_edges": f"with {graph}, n as (select id from nodes where type <> 'view') select type, count(*) as n from edges where source in (select id from n) and target in (select id from n) group by type",
+        "one_hop_impact": f"with {graph} select target as root, source as node, type, c4 from edges where target in (select 'supplier:' || s_suppkey from supplier)",
+        "neighbourhood": f"with {graph}, b as (select source as root, target as node from edges union select target, source from edges) select root, node from b where root <> node and root in (select 'nation:' || n_nationkey from nation)",
+        "isolated_nodes": f"with {graph}, e as (select * from edges where type = 'orm_call' and source <> target) select id, name from nodes where id like 'customer:%' and id not in (select source from e union all select target from e)",
+        "impact_ranking": f"""{reached(all_nations, 2)} select root, type, place, node, c4, depth::bigint as depth from (select b.root, t.type, row_number() over (partition by b.root, t.type order by b.c4 desc, b.depth, t.name, b.node) as place, b.node, b.c4, b.depth
+          from best b join nodes t on t.id = b.node) where place <= 3""",
+        "benchmark_scores": f"""{reached(all_nations, 1, 9500)}, l as (select 'nation:' || c_nationkey as root, 'customer:' || c_custkey as node, c_custkey % 3 <> 0 as expected from customer union all select 'nation:' || s_nationkey, 'supplier:' || s_suppkey, s_suppkey % 3 <> 0 from supplier),
+          m as (select l.*, b.node is not null as hit from l left join best b on b.root = l.root and b.node = l.node),
+          c as (select coalesce(root, 'all') as root, count(*) filter (where expected and hit) as tp, count(*) filter (where expected and not hit) as fn, count(*) filter (where not expected and hit) as fp, count(*) filter (where not expected and not hit) as tn from m group by rollup (root))
+          select *, coalesce(round(tp / nullif(tp + fn, 0)::double, 4), 1.0) as recall, coalesce(round(tp / nullif(tp + fp, 0)::double, 4), 1.0) as precision from c""",
+        "catalog_merge": 'select p_type as "table", p_name as "column", first(p_brand order by p_partkey % 3, p_partkey, p_brand) as type from part group by 1, 2',
+        "lens_titles": """with t as (select l_orderkey as g, list_sort(list(distinct p_brand)) as x from lineitem join part on l_partkey = p_partkey group by 1)
+          select g as "group", len(x)::bigint as n, array_to_string(x[1:3], ', ') || case when len(x) > 3 then ' +' || (len(x) - 3) || ' more' else '' end as title from t""",
+        "enclosing_blocks": """with s as (select page_id, string_split(html, chr(10)) as x from pages), l as (select page_id, unnest(x) as line, generate_subscripts(x, 1) - 1 as n from s),
+          b as (select page_id, last_value(case when contains(line, '<p') or contains(line, '<div') then n end ignore nulls) over (partition by page_id order by n rows between unbounded preceding and current row) as block from l)
+          select page_id, block::bigint as block, count(*) as n from b group by 1, 2""",
         "brier": f"select round(avg((p - actual) * (p - actual)), 4) as brier from {docs}",
         "calibration_curve": f"""with r as (select least(floor(p * 10), 9)::bigint as bucket, count(*) as n, avg(p) as mean, avg(actual) as accuracy from {docs} group by 1)
           select b.bucket, coalesce(n, 0) as n, round(mean, 4) as mean, round(accuracy, 4) as accuracy, round(abs(mean - accuracy), 4) as error, coalesce(n, 0) < 10 as too_few, case when coalesce(n, 0) < 10 then true else abs(mean - accuracy) <= 0.15 end as within

@@ -23,5 +23,6 @@ def test_same_rows(spark, name):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     got = registry.queries()[name](spark, str(SMALL))
     columns = sorted(got.columns)
-    cursor = con.execute(f"select {', '.join(columns)} from ({registry.oracle_sql()[name]})")
+    quoted = ', '.join(f'"{c}"' for c in columns)
+    cursor = con.execute(f"select {quoted} from ({registry.oracle_sql()[name]})")
     assert plain([tuple(r) for r in got.select(columns).collect()]) == plain(cursor.fetchall())
