@@ -13,15 +13,12 @@ by one; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import _UPPER_TO_LOWER, remainder, row_slices, text_bytes
+from .common import _UPPER_TO_LOWER, SLICE_BYTES, remainder, row_slices, text_bytes
 
 PLACES = 1 << 16
 #: Bounds of what is learned from: labelled rows for each language, and landmarks among them.
@@ -115,25 +112,21 @@ def with_language(documents: DataFrame, folds: int = 5) -> DataFrame:
     learned = sample(documents, folds)
     model = trained([t for _, t in learned], [x for x, _ in learned]) if learned else None
 
-    place = documents.columns.index("text")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(place))
-            for lo, hi in row_slices(offsets):
-                part = batch.slice(lo, hi - lo)
-                texts = part.column(place).to_pylist()
-                named, sure = ["und"] * (hi - lo), np.zeros(hi - lo)
-                if model is not None:
-                    scores = model.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    for i, text in enumerate(texts):
-                        if text and any(c.isalpha() for c in text):
-                            k = int(scores[i].argmax())
-                            named[i], sure[i] = model.languages[k], 1 / (1 + np.exp(-4 * float(scores[i, k])))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named), pa.array(sure)], names=[*part.schema.names, "lang_pred", "score"])
-
-    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return documents.mapInArrow(judge, schema)
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(column: pa.Array) -> pa.Array:
+        named, sure = np.full(len(column), "und", object), np.zeros(len(column))
+        data, offsets = text_bytes(column)
+        for lo, hi in row_slices(offsets, SLICE_BYTES // 4, 500) if model is not None else ():
+            scores = model.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            for i, text in enumerate(column.slice(lo, hi - lo)):
+                text = text.as_py()
+                if text and any(c.isalpha() for c in text):
+                    k = int(scores[i].argmax())
+                    named[lo + i], sure[lo + i] = model.languages[k], 1 / (1 + np.exp(-4 * float(scores[i, k])))
+        return pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(sure)], ["lang_pred", "score"])
+
+    judged = documents.withColumn("_judged", judge(F.col("text")))
+    return judged.select(*documents.columns, "_judged.lang_pred", "_judged.score")
 
 
 def identify(documents: DataFrame, folds: int = 5) -> DataFrame:
