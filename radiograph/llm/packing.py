@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 CAPACITY = 2048
-#: Distinct words whose ids a worker remembers.
-CACHED_WORDS = 600_000
+#: Distinct words whose ids a task remembers; when it has so many, it begins anew.
+CACHED_WORDS = 100_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -93,21 +93,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(free)}
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def tokenizer_at(path: str) -> WordTokenizer:
-    """A worker's tokenizer, kept from task to task."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids, then id 0, cut into pieces of at most `capacity`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokenizer_at(path)
+        tokens = WordTokenizer(path)  # for this task only: a worker that lives on keeps no words
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
