@@ -58,7 +58,7 @@ class KernelModel:
         ends = np.cumsum(sizes)
         for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
             if n:
-                out[i] = np.ones(n, np.float32) @ self.grams[places[end - n : end]]
+                out[i] = np.ones(n, np.float32) @ self.grams[places[end - n : end]].astype(np.float32)
         return out / np.sqrt(np.maximum(sizes, 1)[:, None] * self.sizes[None, :])
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def trained(texts: list[str], languages: list[str]) -> KernelModel:
     for language in known:
         marks += [i for i, x in enumerate(languages) if x == language][:LANDMARKS_PER_LANGUAGE]
     ends = np.cumsum(sizes)
-    grams = np.zeros((PLACES, len(marks)), np.float32)
+    grams = np.zeros((PLACES, len(marks)), np.uint8)
     for j, i in enumerate(marks):
         grams[places[ends[i] - sizes[i] : ends[i]], j] = 1
     model = KernelModel(known, grams, np.maximum(sizes[marks], 1), np.zeros((len(marks), len(known)), np.float32))
