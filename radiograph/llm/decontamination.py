@@ -1,12 +1,15 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a fixed mask over ten words: some positions count, the others may differ. The masked words at every place of
+A seed is a fixed mask over eight words: some positions count, the others may differ. The masked words at every place of
 every document and benchmark item are hashed and joined; a hit fixes the item's place in the document. There the two are
 compared word by word, and the document counts as contaminated where some stretch of 13 words (the whole item, if
-shorter) has at most two that differ. Only DataFrame functions are used.
+shorter) has at most two that differ. Whichever two of ten words differ, one of the masks misses both at one of its
+three places, so seeds lose no such stretch of ten words or more. Where text and item overlap by less than 13 words at
+an end of the document, ten words have to overlap. An item of fewer than ten words is its own seed: all of it has to
+stand in the document. Only DataFrame functions are used.
 
-Words are as in the license scan: case, punctuation and white space don't matter. Null and empty texts match nothing;
-items or documents of fewer than ten words have no seeds and match nothing. Rows without an id match under a null id.
+Words are as in the license scan: case, punctuation and white space don't matter. Null and empty texts match nothing.
+Rows without an id match under a null id.
 Rows that repeat an id are one document or item with several texts. Extra columns are ignored.
 """
 
@@ -18,10 +21,12 @@ from pyspark.sql import functions as F
 from .common import bounded, written
 from .licenses import words
 
-SPAN = 10
-#: Positions that count, by mask.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 8, 9), (0, 2, 5, 6, 7, 9))
+SPAN = 8
+#: Positions that count, by mask: of all triples over eight words with five that count, 22 lose nothing; this is one.
+MASKS = ((0, 1, 2, 3, 7), (0, 2, 4, 5, 7), (0, 3, 4, 6, 7))
 STRETCH, MOST_DIFFERENT = 13, 2
+#: Words that are compared at least; shorter items have to stand as a whole.
+LEAST = 10
 #: Seeds or hits up to which one side is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -35,6 +40,24 @@ def seeds(rows: DataFrame, key: str) -> DataFrame:
     return windows.select(key, "at", F.explode(hashed).alias("seed"))
 
 
+def whole_places(documents: DataFrame, short: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, shift, first, n_same, n_compared) where an item of fewer than LEAST words stands as a whole.
+
+    None if there are no such items; documents has doc_id and w, short has item_id and w.
+    """
+    lengths = sorted(r["n"] for r in short.select(F.size("w").alias("n")).distinct().collect())
+    if not lengths:
+        return None
+
+    def phrases(n: int):
+        places = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
+        return F.when(F.size("w") >= n, F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, n), " ").alias("phrase"))))
+
+    places = documents.select("doc_id", F.explode(F.flatten(F.array_compact(F.array(*map(phrases, lengths))))).alias("x")).select("doc_id", "x.at", "x.phrase")
+    wanted = bounded(short.select("item_id", F.array_join("w", " ").alias("phrase"), F.size("w").alias("n")), BROADCAST_ROWS)
+    return places.join(wanted, "phrase").select("doc_id", "item_id", F.col("at").alias("shift"), F.lit(0).alias("first"), F.col("n").alias("n_same"), F.col("n").alias("n_compared"))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_places, doc_word, n_same, n_compared for each document and item that share a passage.
 
@@ -43,7 +66,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id()), "items")
-    wanted = bounded(written(seeds(items, "row").distinct().withColumnRenamed("at", "item_at"), "seeds"), BROADCAST_ROWS)
+    wanted = bounded(written(seeds(items.where(F.size("w") >= LEAST), "row").distinct().withColumnRenamed("at", "item_at"), "seeds"), BROADCAST_ROWS)
     named = docs.select("doc_id", words(F.col("text")).alias("w"))
     hits = seeds(named, "doc_id").join(wanted, "seed").select("doc_id", "row", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = written(hits, "hits")
@@ -51,11 +74,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.join(hit_docs, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(F.col("doc_id").alias("id"), words(F.col("text")).alias("w"))
     pairs = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).join(items.select("row", "item_id", F.col("w").alias("v")), "row")
     first, last = F.greatest(-F.col("shift"), F.lit(0)), F.least(F.size("v"), F.size("w") - F.col("shift"))
-    pairs = pairs.withColumn("first", first).withColumn("last", last).where("last - first >= 10")
+    pairs = pairs.withColumn("first", first).withColumn("last", last).where(F.col("last") - F.col("first") >= LEAST)
     pairs = pairs.withColumn("same", F.zip_with(F.slice("v", F.col("first") + 1, F.col("last") - F.col("first")), F.slice("w", F.col("first") + F.col("shift") + 1, F.col("last") - F.col("first")), lambda a, b: (a == b).cast("int")))
     n, length = F.size("same"), F.least(F.size("same"), F.lit(STRETCH))
     stretch = F.exists(F.sequence(F.lit(1), n - length + 1), lambda i: F.aggregate(F.slice("same", i, length), F.lit(0), lambda s, x: s + x) >= length - MOST_DIFFERENT)
     checked = pairs.where(stretch).select("doc_id", "item_id", "shift", "first", F.aggregate("same", F.lit(0), lambda s, x: s + x).alias("n_same"), n.alias("n_compared"))
+    whole = whole_places(named, items.where(F.size("w").between(1, LEAST - 1)))
+    checked = checked if whole is None else checked.unionByName(whole)
     best = F.max_by(F.struct((F.col("first") + F.col("shift")).alias("at"), "n_same", "n_compared"), F.struct("n_same", -F.col("shift")))
     out = checked.groupBy("doc_id", "item_id").agg(F.count_distinct("shift").alias("n_places"), best.alias("b"))
     return out.select("doc_id", "item_id", "n_places", F.col("b.at").cast("long").alias("doc_word"), F.col("b.n_same").cast("long").alias("n_same"), F.col("b.n_compared").cast("long").alias("n_compared"))
