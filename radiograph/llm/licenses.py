@@ -1,10 +1,10 @@
 """License scan with a positional index of rare words.
 
-A license notice is recognised by a template. For each file the licence words with the highest inverse document
-frequency (over all files) are looked up in the templates' postings; postings that agree on the place of the template
-relative to the file are counted, and where at least two rare words agree the template's mandatory key phrase must stand
-at its place. All of that happens within a file's row, in DataFrame functions; only the document frequencies of the
-templates' few words are aggregated.
+A license notice is recognised by a template. The two words of each template's mandatory key phrase with the highest
+inverse document frequency (over all files) are its postings. All words of a file are looked up in them; where both
+words agree on the place of the template relative to the file, the whole key phrase must stand there. A key phrase that
+stands has both of its rare words, so no notice is lost, however many a file holds. All of that happens within a file's
+row, in DataFrame functions; only the document frequencies of the key phrases' few words are aggregated.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. Null and empty texts have no words and no
 labels. Rows are scanned one by one; extra columns are ignored; an empty table gives no rows.
@@ -37,11 +37,11 @@ TEMPLATES = (
     ("reserved", "all rights reserved", "all rights reserved"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-#: Rare words taken for each file; two of them have to agree on a place.
-TOP_WORDS = 12
+#: Rare words of each key phrase that are looked up; two of them have to agree on a place.
+RARE_WORDS = 2
 #: Share of a notice's words that have to stand at their places.
 LEAST_SHARE = 0.75
-VOCABULARY = tuple(sorted({w for _, notice, _ in TEMPLATES for w in notice.split()}))
+VOCABULARY = tuple(sorted({w for _, _, key in TEMPLATES for w in key.split()}))
 
 
 def words(text: Column) -> Column:
@@ -50,7 +50,7 @@ def words(text: Column) -> Column:
 
 
 def document_frequencies(documents: DataFrame) -> dict[str, int]:
-    """In how many rows each word of the templates stands: at most one number for each of them."""
+    """In how many rows each word of the key phrases stands: at most one number for each of them."""
     own = F.explode(F.array_intersect(words(F.col("text")), F.array(*[F.lit(w) for w in VOCABULARY])))
     return {r["w"]: r["n"] for r in documents.select(own.alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
 
@@ -63,28 +63,34 @@ def _phrase_places(phrase: list[str]) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - len(phrase), F.lit(0))), here)
 
 
+def _key_at(notice: str, key: str) -> int:
+    """The place of the key phrase in its notice."""
+    of, need = notice.split(), key.split()
+    return next(i for i in range(len(of)) if of[i : i + len(need)] == need)
+
+
 def _notices() -> Column:
     """The templates as one literal array of (label, words, key words, the key's place)."""
     rows = []
     for label, notice, key in TEMPLATES:
         of, need = notice.split(), key.split()
-        at = next(i for i in range(len(of)) if of[i : i + len(need)] == need)
-        rows.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, of)).alias("words"), F.array(*map(F.lit, need)).alias("key"), F.lit(at).alias("key_at")))
+        rows.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, of)).alias("words"), F.array(*map(F.lit, need)).alias("key"), F.lit(_key_at(notice, key)).alias("key_at")))
     return F.array(*rows)
 
 
-def _postings() -> Column:
-    """word -> (template, place of the word in it), as one literal map."""
-    pairs = []
-    for word in VOCABULARY:
-        pairs += [F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("at")) for t, (_, notice, _) in enumerate(TEMPLATES) for i, x in enumerate(notice.split()) if x == word])]
-    return F.create_map(*pairs)
+def _postings(frequency: dict[str, int]) -> Column:
+    """word -> (template, place of the word in it) for the rarest words of each key phrase, as one literal map."""
+    held: dict[str, list[Column]] = {}
+    for t, (_, notice, key) in enumerate(TEMPLATES):
+        need, begin = key.split(), _key_at(notice, key)
+        for i in sorted(range(len(need)), key=lambda i: (frequency.get(need[i], 0), need[i]))[:RARE_WORDS]:
+            held.setdefault(need[i], []).append(F.struct(F.lit(t).alias("t"), F.lit(begin + i).alias("at")))
+    return F.create_map(*[x for word, places in held.items() for x in (F.lit(word), F.array(*places))])
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of documents(doc_id, text)."""
     frequency = document_frequencies(documents)
-    rank = F.array(*[F.lit(w) for w in sorted(VOCABULARY, key=lambda w: (frequency.get(w, 0), w))])
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     rows = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
 
@@ -95,17 +101,15 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
         labels.append(F.when(stands, F.lit(label)))
     rows = rows.withColumn("places", F.concat(*places)).withColumn("base", F.array_compact(F.array(*labels)))
 
-    # Only files that hold some mandatory phrase can match: their rarest licence words, and where the templates would begin.
+    # Only files that hold some mandatory phrase can match: where the templates would begin by each rare word.
     keys = sorted({key for _, _, key in TEMPLATES})
     has_key = F.exists(F.array(*map(F.lit, keys)), lambda k: F.contains(F.col("line"), F.concat(F.lit(" "), k, F.lit(" "))))
-    rows = rows.withColumn("own", F.when(has_key, F.slice(F.array_intersect(rank, "w"), 1, TOP_WORDS)).otherwise(F.array().cast("array<string>")))
-    postings, nothing = _postings(), F.array().cast("array<struct<t:int,shift:int>>")
+    postings, nothing = _postings(frequency), F.array().cast("array<struct<t:int,shift:int>>")
 
     def begins(w: Column, i: Column) -> Column:
-        here = F.transform(F.element_at(postings, w), lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("shift")))
-        return F.when(F.array_contains("own", w), here).otherwise(nothing)
+        return F.coalesce(F.transform(F.try_element_at(postings, w), lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("shift"))), nothing)
 
-    rows = rows.withColumn("hits", F.when(F.size("own") > 0, F.sort_array(F.flatten(F.transform("w", begins)))).otherwise(nothing))
+    rows = rows.withColumn("hits", F.when(has_key, F.sort_array(F.flatten(F.transform("w", begins)))).otherwise(nothing))
     # Sorted, beginnings on which two words agree are neighbours.
     following = F.slice("hits", 2, F.greatest(F.size("hits") - 1, F.lit(0)))
     rows = rows.withColumn("agreed", F.array_distinct(F.array_compact(F.zip_with("hits", following, lambda a, b: F.when(a == b, a)))))

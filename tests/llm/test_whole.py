@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from radiograph.llm import decontamination
+from radiograph.llm import decontamination, licenses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -44,3 +44,26 @@ def test_decontamination_finds_every_change_of_two_words(spark):
     bench = spark.createDataFrame([(n, " ".join(v)) for n, v in items.items()], "item_id long, text string")
     got = decontamination.contaminated(documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), bench).collect()
     assert {(x["doc_id"], x["item_id"]): (x["n_places"], x["doc_word"], x["n_same"], x["n_compared"]) for x in got} == want
+
+
+def test_licenses_finds_every_notice(spark):
+    three = "Redistribution and use in source and binary forms, with or without modification, are permitted. This is free and unencumbered software released into the public domain. Released under the MIT License."
+    every = ". ".join(notice for _, notice, _ in licenses.TEMPLATES)
+    near = "filler words " * 30 + "this program is free software you MAY redistribute it and or modify it under the terms of the gnu general public license or licensed under cc by nc 4 0"
+    texts = [(1, three), (2, every), (3, near), (4, "public license of mozilla"), *((i, "released under the mit license") for i in range(5, 40))]
+
+    def shares(text):
+        w = text.lower().replace(",", " ").replace(".", " ").split()
+        for label, notice, key in licenses.TEMPLATES:
+            of, need = notice.split(), key.split()
+            at = next(k for k in range(len(of)) if of[k : k + len(need)] == need)
+            for i in range(len(w)):
+                if w[i : i + len(need)] == need:
+                    yield label, sum(0 <= i - at + k < len(w) and w[i - at + k] == x for k, x in enumerate(of)) / len(of)
+
+    for row in licenses.scan_licenses(documents(spark, texts)).collect():
+        text = dict(texts)[row["doc_id"]]
+        base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in " " + " ".join(text.lower().replace(",", " ").replace(".", " ").split()) + " "}
+        assert set(filter(None, row["labels"].split(","))) == base | {label for label, share in shares(text) if share >= 0.75}
+        assert row["score"] == (1.0 if base else max((share for _, share in shares(text)), default=0.0))
+        assert row["doc_id"] != 1 or row["labels"] == "bsd,mit,unlicense"
