@@ -1,10 +1,12 @@
 """Operators against definitions that know nothing of their shortcuts."""
 
+import hashlib
 import itertools
+import string
 
 import numpy as np
 
-from radiograph.llm import decontamination, licenses
+from radiograph.llm import decontamination, licenses, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +69,19 @@ def test_licenses_finds_every_notice(spark):
         assert set(filter(None, row["labels"].split(","))) == base | {label for label, share in shares(text) if share >= 0.75}
         assert row["score"] == (1.0 if base else max((share for _, share in shares(text)), default=0.0))
         assert row["doc_id"] != 1 or row["labels"] == "bsd,mit,unlicense"
+
+
+def test_secrets_of_unknown_kinds_stay_secrets(spark):
+    r = np.random.default_rng(4)
+    key = lambda: "ghp_" + "".join(r.choice(list(string.ascii_letters + string.digits), 36))
+    texts = [(i, f"plain words before {key()} and after") for i in range(1500)]
+    found = secrets.find_secrets(documents(spark, texts)).where("exists(spans, s -> s.kind = 'cnn' and s.start = 19 and s.end = 59)").count()
+    assert found >= 0.97 * len(texts)
+
+
+def test_threshold_keeps_the_recall():
+    findings = [(*f[:3], int(f[3] or i % 20 == 0)) for i, f in enumerate(secrets.labelled_table(1500))]
+    network = secrets.trained(findings)
+    held = [f for f in findings if f[3] and int(hashlib.md5("".join(f[:3]).encode()).hexdigest()[:8], 16) % 5 == 0]
+    kept = [network.probability(np.stack([secrets.encoded(a + b + c, len(a), len(a) + len(b))]))[0] >= network.threshold for a, b, c, _ in held]
+    assert np.mean(kept) >= secrets.RECALL and network.threshold < 0.5
