@@ -12,6 +12,11 @@ from radiograph.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row, written once: a null or repeated doc_id names no row."""
+    return written(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised; null texts and texts without letters go."""
     docs = docs.select(*COLUMNS)
@@ -19,17 +24,22 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    gone = near_duplicates.near_duplicates(docs).where("not kept").select("doc_id")
-    return near_duplicates.without(docs, gone)
+    """One row of each group of near duplicates: the one with the smallest doc_id, null last."""
+    docs = _keyed(docs)
+    groups = near_duplicates.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    groups = written(groups, "groups")
+    shared = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = written(groups.join(shared, "component_id", "left_semi").join(docs.select("key", "doc_id"), "key"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
+    gone = members.select("key").join(first.select("key"), "key", "left_anti")
+    return docs.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with a benchmark item."""
-    docs = docs.select(*COLUMNS)
-    hit = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").where("doc_id is not null").distinct()
-    return near_duplicates.without(docs, hit)
+    """Rows that share no passage with a benchmark item."""
+    docs = _keyed(docs)
+    hit = decontamination.contaminated(docs.select(F.col("key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(hit, "key", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

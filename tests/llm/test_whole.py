@@ -99,3 +99,18 @@ def test_secrets_reads_whole_candidates(spark):
     assert sum(got[i] == "see [SECRET] there" for i in range(200)) >= 180
     assert sum(got[1000 + i] == dict(texts)[1000 + i] for i in range(200)) >= 190
     assert sum(got[2000 + i] == "key [SECRET] end" for i in range(50)) >= 48
+
+
+def test_pipeline_decides_for_rows_without_an_id_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = np.random.default_rng(7)
+    text = lambda n: " ".join("".join(r.choice(list("abcdefghij"), 5)) for _ in range(n))
+    item, one, two, three, four = text(30), text(60), text(60), text(60), text(60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{text(9)} {item}"), (None, one), (None, one), (5, two), (5, two), (5, three), (None, four), (9, four), (8, f"{four} more"), (5, f"{item} {text(9)}")]
+    rows = documents(spark, rows)
+    single = corpus_pipeline.keep_one_of_each(spark, rows, str(tmp_path))
+    assert sorted((str(x["doc_id"]), x["text"]) for x in single.collect() if item not in x["text"]) == sorted([("None", one), ("5", two), ("5", three), ("8", f"{four} more")])
+    clean = corpus_pipeline.drop_benchmark_text(spark, rows, str(tmp_path))
+    assert clean.count() == 8 and not any(item in x["text"] for x in clean.collect())
