@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; bounds the memory of a worker whatever the Arrow batch holds.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+BATCH_BYTES = 8 << 20
+#: Rows of narrow tables up to which they are sent to all executors instead of shuffled; `bounded` counts them.
+BROADCAST_ROWS = 500_000
 
 _UPPER_TO_LOWER = np.arange(256, dtype=np.uint8)
 _UPPER_TO_LOWER[65:91] += 32
@@ -29,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isEmpty() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoints-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
@@ -43,6 +48,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Spark hands to a Python worker at once by BATCH_BYTES, where the session allows more."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting, str(BATCH_BYTES + 1)).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column and the row offsets into them; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -70,63 +82,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_powers = np.ones(1, np.uint64)
+#: Powers of the step: low for places within a block of 65,536 bytes, high for the number of such blocks before it.
+_LOW_POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(65535, _STEP | np.uint64(1), np.uint64)]))
+_BLOCK_STEP = (_LOW_POWERS[-1:] * (_STEP | np.uint64(1)))[0]
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if n > len(_powers):
-        size = max(n, 2 * len(_powers), 64)
-        grown = np.full(size, _STEP | np.uint64(1), np.uint64)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers
+def _powers(places: np.ndarray) -> np.ndarray:
+    """The step's powers for places within a word, however long it is."""
+    out = _LOW_POWERS[places & 65535]
+    blocks = places >> 16
+    if len(blocks) and (most := int(blocks.max())):
+        out = out * np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(most, _BLOCK_STEP, np.uint64)]))[blocks]
+    return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and the number of words of each row."""
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and the number of words of each row.
+
+    Bytes are read in blocks of SLICE_BYTES; a word that goes on in the next block is carried over as its sum and
+    length, so that memory is bounded whatever the length of a text or a word.
+    """
     parts, counts = [], np.zeros(len(offsets) - 1, np.int64)
-    cuts = np.unique(np.concatenate([offsets, _inner_cuts(data, offsets)]))
-    for lo, hi in row_slices(cuts):
-        a, b = int(cuts[lo]), int(cuts[hi])
-        if a == b:
-            continue
+    total, carried_sum, carried = int(offsets[-1]), np.uint64(0), 0
+    for a in range(0, total, SLICE_BYTES):
+        b = min(total, a + SLICE_BYTES)
         raw = _UPPER_TO_LOWER[data[a:b]]
         space = _IS_SPACE[raw]
         before = np.empty(len(raw), bool)
         before[0], before[1:] = True, space[:-1]
-        before[cuts[lo:hi] - a] = True
+        rows = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
+        before[rows] = True
         inside = ~space
         starts = np.flatnonzero(inside & before)
         if not len(starts):
             continue
-        counts += np.bincount(np.searchsorted(offsets, starts + a, "right") - 1, minlength=len(counts))[: len(counts)]
         kept = raw[inside]
         first = (np.cumsum(inside) - 1)[starts]
         lengths = np.diff(np.append(first, len(kept)))
         place = np.arange(len(kept)) - np.repeat(first, lengths)
-        sums = np.add.reduceat(_BYTE_VALUE[kept] * _power_table(int(lengths.max()))[place], first)
-        parts.append(mixed(sums + lengths.astype(np.uint64)))
+        if carried:  # the block begins within a word
+            place[: lengths[0]] += carried
+        sums = np.add.reduceat(_BYTE_VALUE[kept] * _powers(place), first)
+        if carried:
+            sums[:1] += carried_sum
+            lengths[0] += carried
+        ended, carried = len(starts), 0
+        if b < total and inside[-1] and not _IS_SPACE[data[b]] and offsets[np.searchsorted(offsets, b)] != b:
+            ended, carried_sum, carried = ended - 1, sums[-1], int(lengths[-1])
+        counts += np.bincount(np.searchsorted(offsets, starts[:ended] + a, "right") - 1, minlength=len(counts))[: len(counts)]
+        parts.append(mixed(sums[:ended] + lengths[:ended].astype(np.uint64)))
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
 
 
-def _inner_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places at white space within rows longer than a slice, so that a very long row is hashed piece by piece."""
-    cuts = []
-    for row in np.flatnonzero(np.diff(offsets) > SLICE_BYTES):
-        at, end = int(offsets[row]) + SLICE_BYTES, int(offsets[row + 1])
-        while at < end:
-            while at < end:
-                found = np.flatnonzero(_IS_SPACE[data[at : min(end, at + 65536)]])
-                if len(found):
-                    at += int(found[0])
-                    break
-                at = min(end, at + 65536)
-            cuts.append(at)
-            at += SLICE_BYTES
-    return np.array(cuts, np.int64)
-
-
 def remainder(column: str, by: int):
     """crc32 of an id's decimal text, modulo `by`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "utf-8")), F.lit(by))
@@ -136,16 +143,18 @@ def remainder_of(value: object, by: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % by
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else as it is: Spark then shuffles both sides."""
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (a written or checkpointed table) marked for broadcast if it has at most so many rows, else as it is: Spark then shuffles both sides."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b): root is the smallest node that it reaches.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) as joins and minima, so a node with very many
-    neighbours is never gathered; each round is checkpointed in the shared folder.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) as joins and minima until nothing changes, in a
+    number of rounds that grows with the logarithm of the longest path; it raises if `most_rounds` don't suffice. A node
+    with very many neighbours is never gathered: minima are combined before the shuffle, and they are checkpointed
+    before they are joined, so that Spark can split such a node's rows over tasks (skew join) or sends few minima to all.
     """
     shared_folder(edges.sparkSession)
     stars = (
@@ -155,13 +164,16 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = bounded(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).checkpoint())
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = large.checkpoint()
+        down = bounded(large.groupBy("a").agg(F.min("b").alias("m")).checkpoint())
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("a", "m")).distinct()
         stars = small.checkpoint()
         now = tuple(stars.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not converged in {most_rounds} rounds")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

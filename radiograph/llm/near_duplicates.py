@@ -1,19 +1,20 @@
 """Near-duplicate documents: MinHash signatures joined through a multi-index over their chunks.
 
-A document's signature has 60 symbols of 16 bits (MinHash minima cut to b bits) in 15 chunks of four. Two signatures
-that differ in at most 29 symbols agree, by the pigeonhole principle, on some chunk up to one error; each chunk is
-therefore entered four times, each time without another of its symbols, and a plain equality join on these entries
-meets every pair under the threshold. At a Jaccard similarity of 0.75 a pair differs in more than 29 symbols with a
-probability of about 1e-5, and even then most often still shares an entry. 192 further symbols of four bits
-and a parity bitmap sharpen the distance before the links are confirmed on the full shingle sets.
+A document's signature has 27 symbols of 32 bits (MinHash minima) in nine chunks of three. Two signatures that differ
+in at most 17 symbols agree, by the pigeonhole principle, on some chunk up to one error; each chunk is therefore entered
+three times, each time without another of its symbols, and a plain equality join on these entries meets every pair
+under that distance. A pair with a Jaccard similarity of 0.75 differs in more than 17 symbols with a probability of
+6e-6, and even then most often still shares an entry. The signature ends in 192 further symbols of four bits, of which
+at most 86 may differ (at 0.75 more do with a probability of 7e-11), and in a parity bitmap, whose bound is exact; they
+are compared where two signatures meet, before the links are confirmed on the full shingle sets.
 
 Copies of a text are one class. Within an entry each member is first tried with its nearest hubs only; members that end in
 different components afterwards are tried against each other, so that no link between different texts is lost while a
-group of near copies is never paired out.
+group of near copies is never paired out. An entry with many such members is dealt over several tasks.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing. A row without doc_id links with
 nothing, keeps a null component_id and counts as kept. Rows that repeat a doc_id count as one document: they share a
-component. Extra columns are ignored.
+component. Extra columns are ignored; an empty table gives no rows. Very long texts and words are read in blocks.
 """
 
 from __future__ import annotations
@@ -25,20 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, connected_components, mixed, row_slices, text_bytes, word_hashes, written
+from .common import bounded, connected_components, mixed, row_slices, small_batches, text_bytes, word_hashes, written
 
 SHINGLE_WORDS = 5
-CHUNKS, CHUNK_SYMBOLS, NIBBLES = 15, 4, 192
+CHUNKS, CHUNK_SYMBOLS, NIBBLES = 9, 3, 192
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 FINE = NIBBLES // 16
 #: Longs of a bitmap in which each shingle flips one bit: two bitmaps differ in no more bits than the sets in shingles.
 PARITY = 16
-#: Of the 192 four-bit symbols: mean and 5.3 standard deviations at a similarity of 0.75.
-MOST_DIFFERENT = 76
+#: Of the 192 four-bit symbols: mean and seven standard deviations at a similarity of 0.75.
+MOST_DIFFERENT = 86
 #: Hubs with which each member is tried first: the nearest of at most one for each of its entries.
 HUBS = 3
-#: Ids up to which the documents to confirm are picked by a broadcast; beyond it both sides are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Members of an entry that one task tries against the rest of it.
+SPREAD = 256
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 2**32, SYMBOLS + NIBBLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _PLACES = mixed(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -72,7 +73,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WOR
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 252 minima for each non-empty set."""
+    """A row of 219 minima for each non-empty set."""
     if not sets:
         return np.zeros((0, SYMBOLS + NIBBLES), np.uint32)
     out = np.empty((len(sets), SYMBOLS + NIBBLES), np.uint32)
@@ -87,13 +88,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def packed(minima: np.ndarray) -> np.ndarray:
-    """The minima as longs: 15 of four symbols each, then 12 of sixteen four-bit symbols each."""
-    n = len(minima)
-    coarse = (minima[:, :SYMBOLS] & 0xFFFF).astype(np.uint64).reshape(n, CHUNKS, CHUNK_SYMBOLS)
-    fine = (minima[:, SYMBOLS:] & 0xF).astype(np.uint64).reshape(n, FINE, 16)
-    a = (coarse << (np.arange(CHUNK_SYMBOLS, dtype=np.uint64) * np.uint64(16))).sum(2, dtype=np.uint64)
-    b = (fine << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
-    return np.concatenate([a, b], 1).view(np.int64)
+    """The minima of four bits as longs of sixteen."""
+    fine = (minima & 0xF).astype(np.uint64).reshape(len(minima), FINE, 16)
+    return (fine << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
 
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
@@ -105,8 +102,8 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
-_LONGS = [f"s{i}" for i in range(CHUNKS + FINE + PARITY)]
-_SIGNED = f"doc_id long, n_shingles long, k1 long, k2 long, {', '.join(f'{c} long' for c in _LONGS)}"
+_SYMBOLS, _LONGS = [f"c{i}" for i in range(SYMBOLS)], [f"s{i}" for i in range(FINE + PARITY)]
+_SIGNED = f"doc_id long, n_shingles long, k1 long, k2 long, {', '.join(f'{c} int' for c in _SYMBOLS)}, {', '.join(f'{c} long' for c in _LONGS)}"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +113,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, one, two = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
-            longs = np.zeros((hi - lo, len(_LONGS)), np.int64)
+            symbols, longs = np.zeros((hi - lo, SYMBOLS), np.int32), np.zeros((hi - lo, len(_LONGS)), np.int64)
             own = [sets[i] for i in full]
-            longs[full] = np.concatenate([packed(signatures(own)), parities(own)], 1)
-            columns = [batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(longs[:, i]) for i in range(longs.shape[1]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", *_LONGS])
+            minima = signatures(own)
+            symbols[full] = minima[:, :SYMBOLS].view(np.int32)
+            longs[full] = np.concatenate([packed(minima[:, SYMBOLS:]), parities(own)], 1)
+            columns = [batch.column(0).slice(lo, hi - lo), *map(pa.array, (sizes, one.view(np.int64), two.view(np.int64), *symbols.T.copy(), *longs.T.copy()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", *_SYMBOLS, *_LONGS])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,22 +127,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column(1))
         for lo, hi in row_slices(offsets):
             sets, _, _ = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "shingles"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            if not len(x) or 100 * len(x) < 75 * len(y):
-                continue
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            keep[i] = 100 * both >= 75 * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+def _unequal(x: str, y: str) -> str:
+    """In how many of their four-bit symbols two signatures differ, as SQL."""
+    def one(i: int) -> str:
+        v = f"({x}.s{i} ^ {y}.s{i})"
+        return f"bit_count(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & 1229782938247303441L)"
+    return " + ".join(one(i) for i in range(FINE))
 
 
 def _near(x: str, y: str) -> str:
@@ -152,86 +146,83 @@ def _near(x: str, y: str) -> str:
     Similar sets of n and m shingles differ in at most (n + m) / 7 of them, so that their parity bitmaps differ in no
     more bits: this never drops a link, and is sharp for short texts. The four-bit symbols are sharp for long ones.
     """
-    parity = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(CHUNKS + FINE, CHUNKS + FINE + PARITY))
-    return f"7 * ({parity}) <= {x}.n_shingles + {y}.n_shingles and {_unequal(x, y)} <= {MOST_DIFFERENT}"
-
-
-def _unequal(x: str, y: str) -> str:
-    """In how many of their four-bit symbols two signatures differ, as SQL."""
-    def one(i: int) -> str:
-        v = f"({x}.s{i} ^ {y}.s{i})"
-        return f"bit_count(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & 1229782938247303441L)"
-    return " + ".join(one(i) for i in range(CHUNKS, CHUNKS + FINE))
+    parity = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(FINE, FINE + PARITY))
+    sizes = f"4 * {x}.n_shingles >= 3 * {y}.n_shingles and 4 * {y}.n_shingles >= 3 * {x}.n_shingles"
+    return f"{sizes} and 7 * ({parity}) <= {x}.n_shingles + {y}.n_shingles and {_unequal(x, y)} <= {MOST_DIFFERENT}"
 
 
-def _first_entry(x: str, y: str) -> str:
-    """The number of the first chunk entry that two signatures share, as SQL: a pair is taken there and nowhere else."""
-    cases = []
+def entries(signed: DataFrame) -> DataFrame:
+    """(entry, doc_id): each chunk three times, without one of its symbols."""
+    one = []
     for i in range(CHUNKS):
-        v = f"({x}.s{i} ^ {y}.s{i})"
         for k in range(CHUNK_SYMBOLS):
-            cases.append(f"when ({v} & ~shiftleft(65535L, {16 * k})) = 0L then {4 * i + k}")
-    return "case " + " ".join(cases) + " else -1 end"
-
-
-def entries(signed: DataFrame) -> DataFrame:
-    """(entry, doc_id): each chunk four times, without one of its symbols."""
-    one = [f"struct({4 * i + k} as nth, s{i} & ~shiftleft(65535L, {16 * k}) as value)" for i in range(CHUNKS) for k in range(CHUNK_SYMBOLS)]
-    return signed.select("doc_id", F.explode(F.expr(f"array({', '.join(one)})")).alias("e")).select("doc_id", "e.nth", F.xxhash64("e.nth", "e.value").alias("entry"))
+            rest = ", ".join(f"c{CHUNK_SYMBOLS * i + j}" for j in range(CHUNK_SYMBOLS) if j != k)
+            one.append(f"xxhash64({CHUNK_SYMBOLS * i + k}, {rest})")
+    return signed.select("doc_id", F.explode(F.expr(f"array({', '.join(one)})")).alias("entry"))
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b) whose full shingle sets are similar enough: one set travels with each pair, row by row."""
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = documents.select("doc_id", "text").join(bounded(ids, BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
-    sets = written(sets, "sets")
-    one, two = sets.toDF("b", "y"), sets.toDF("a", "x")
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+    ids = bounded(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"))
+    sets = written(documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    n, m, same = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    return both.where((n > 0) & (4 * n >= 3 * m) & (4 * m >= 3 * n)).where(100 * same >= 75 * (n + m - same)).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per row of documents(doc_id, text): doc_id, n_shingles, component_id, kept; see the module's text."""
+    """One row per row of documents(doc_id, text): doc_id, n_shingles, component_id, kept; see the module's text.
+
+    What several rows share is written before it is joined, so that Spark can split a key that holds many rows.
+    """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(documents.mapInArrow(_sign, _SIGNED), "signed")
+    small_batches(documents.sparkSession)
+    signed = written(documents.mapInArrow(_sign, _SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
     named = signed.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
-    copies = named.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    copies = written(copies, "copies")
-    signs = named.join(classes.select("class_id", "k1", "k2"), ["k1", "k2"]).where("doc_id = class_id").select("doc_id", "n_shingles", *_LONGS).dropDuplicates(["doc_id", "s0", "s1"])
+    classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    classes = bounded(written(classes.select("k1", "k2", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row")), "classes"))
+    copies = written(named.select("doc_id", "row", "k1", "k2").join(classes, ["k1", "k2"]).where("row <> class_row").select("doc_id", "row", "class_id"), "copies")
+    signs = named.join(bounded(copies.select("row")), "row", "left_anti").select("doc_id", "n_shingles", *_SYMBOLS, *_LONGS)
     signs = written(signs, "signs")
+    copies = copies.where("doc_id <> class_id").select("doc_id", "class_id").distinct()
 
     made = entries(signs)
     hubs = made.groupBy("entry").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("entry", "hub")
-    shared = written(made.join(hubs, "entry"), "shared")
+    shared = written(made.join(written(hubs, "hubs"), "entry"), "shared")
 
     stars = shared.where("doc_id <> hub").select("doc_id", "hub").distinct()
+    signs = signs.drop(*_SYMBOLS)
     x, y = signs.alias("x"), signs.alias("y")
     tried = stars.join(x, F.col("x.doc_id") == stars["doc_id"]).join(y, F.col("y.doc_id") == stars["hub"])
-    tried = tried.select(stars["doc_id"].alias("b"), stars["hub"].alias("a"), F.expr(_unequal("x", "y")).alias("d"), F.expr(_near("x", "y")).alias("near")).where("near")
+    tried = tried.where(_near("x", "y")).select(stars["doc_id"].alias("b"), stars["hub"].alias("a"), F.expr(_unequal("x", "y")).alias("d"))
     nearest = F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, HUBS)
     first = tried.groupBy("b").agg(nearest.alias("hubs")).select(F.explode("hubs.a").alias("a"), "b")
     links = confirmed(first, documents)
-    labels = connected_components(links).checkpoint()
-
-    named_entries = shared.join(labels, shared["doc_id"] == labels["node"], "left").select("entry", "nth", "doc_id", F.coalesce("root", "doc_id").alias("label"))
-    sizes = named_entries.groupBy("entry", "label").agg(F.count("*").alias("n"))
-    mixed_entries = sizes.groupBy("entry").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("entry", "most")
-    solid = [F.coalesce(c, F.lit(0).cast("long" if c != "nth" else "int")).alias(c) for c in ("entry", "nth", "doc_id", "label", "most", "n_shingles", *_LONGS)]
-    open_rows = written(named_entries.join(mixed_entries, "entry").join(signs, "doc_id"), "open").select(solid)
-    left, right = open_rows.where("label <> most").alias("x"), open_rows.alias("y")
-    rest = left.join(right, (F.col("x.entry") == F.col("y.entry")) & F.expr(
-        f"x.label <> y.label and (y.label = y.most or x.doc_id < y.doc_id) and 4 * x.n_shingles >= 3 * y.n_shingles and 4 * y.n_shingles >= 3 * x.n_shingles"
-        f" and {_near('x', 'y')} and {_first_entry('x', 'y')} = x.nth"
-    )).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    labels = written(connected_components(links), "labels")
+
+    labelled = written(shared.join(labels, shared["doc_id"] == labels["node"], "left").select("entry", "doc_id", F.coalesce("root", "doc_id").alias("label")), "labelled")
+    sizes = labelled.groupBy("entry", "label").agg(F.count("*").alias("n"))
+    mixed_entries = sizes.groupBy("entry").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("members"))
+    mixed_entries = written(mixed_entries.where("labels > 1").select("entry", "most", F.expr("cast((members + {0} - 1) div {0} as int)".format(SPREAD)).alias("salts")), "mixed")
+    open_rows = labelled.join(mixed_entries, "entry").join(signs, "doc_id")
+    solid = [F.coalesce(c, F.lit(0).cast("int" if c in ("salts", "salt") else "long")).alias(c) for c in ("entry", "doc_id", "label", "most", "n_shingles", *_LONGS, "salts")]
+    open_rows = written(open_rows, "open").select(solid)
+    left = open_rows.where("label <> most").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
+    right = open_rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    rest = left.join(right, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.salt") == F.col("y.salt")) & F.expr(
+        f"x.label <> y.label and (y.label = y.most or x.doc_id < y.doc_id) and {_near('x', 'y')}"
+    )).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     more = confirmed(rest, documents)
 
-    whole = connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(copies))
-    out = signed.select("doc_id", "n_shingles").join(whole, signed["doc_id"] == whole["node"], "left")
-    component = F.coalesce("root", "doc_id")
+    whole = written(connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+    # Rows that repeat a doc_id with several texts link the classes of these texts.
+    repeated = copies.groupBy("doc_id").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most").select("doc_id")
+    repeated = repeated.union(copies.join(signs, "doc_id", "left_semi").select("doc_id"))
+    if not repeated.isEmpty():
+        whole = written(connected_components(whole.select(F.col("node").alias("a"), F.col("root").alias("b")).union(copies)), "roots")
+    found = copies.join(whole, F.col("class_id") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("root", "class_id").alias("root"))
+    roots = whole.unionByName(found).groupBy("node").agg(F.min("root").alias("root"))
+    out = signed.select("doc_id", "n_shingles").join(roots, signed["doc_id"] == roots["node"], "left")
+    component = F.least(F.coalesce("root", "doc_id"), "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id is not among ids(doc_id), each one once; rows without doc_id stay."""
-    return documents.join(bounded(written(ids, "gone"), BROADCAST_IDS), "doc_id", "left_anti")
