@@ -1,12 +1,13 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Lengths are first counted: the histogram has at most `capacity` entries whatever the input holds, so the packing is
-planned on the driver. A configuration linear program over it (cover every length, use few sequences) is solved
-approximately by multiplicative weights: in each round a knapsack dynamic program prices the best configuration under
-the current weights, the configuration is bought, and the weights of the lengths that it covers fall. The plan is
-rounded by taking whole configurations that leave no room, in order of their weight; what is left is packed best fit, longest first, on
-the histogram as well. Pieces then find their place by their rank among the pieces of their length: ranks come from
-counts of salted groups, so that one very common length is never gathered.
+planned on the driver. The configuration linear program over it (cover every length as often as it occurs, by as few
+configurations as it takes) is solved by multiplicative weights: in each round a knapsack dynamic program prices the
+lengths' configurations under the current weights, nearly best ones are bought, and the weights of the lengths that lag
+behind rise. The same program scales the prices to a dual solution, which bounds the optimum. The cover is rounded to
+whole configurations; what rounding leaves is bought from the residual program in whole numbers, and the last few
+per cent are packed best fit, longest first, on the histogram as well. Pieces then find their place by their rank among
+the pieces of their length: ranks come from counts of salted groups, so that one very common length is never gathered.
 
 A null or empty text is a document of one token (id 0). Repeated rows are packed as often as they occur; a null doc_id
 stays null. Extra columns are ignored; an empty table gives no rows.
@@ -15,9 +16,9 @@ stays null. Extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import struct
-import unicodedata
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, small_batches, written
 
 CAPACITY = 2048
 #: Distinct words whose ids a task remembers; when it has so many, it begins anew.
 CACHED_WORDS = 100_000
+#: How far below the best value each step and the whole of a bought configuration may be, and configurations tried before the knapsack is solved anew.
+TOLERANCE, CLOSE, COLUMNS = 2e-3, 1e-2, 64
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,7 +42,7 @@ class WordTokenizer:
 
     The tokenizer drops white space, so a text's ids are those of its words one after the other; the test suite holds
     that against encoding whole texts. Texts with separators that Python and the tokenizer see differently are encoded
-    whole.
+    whole. Texts of Latin letters are lower-cased as a whole, as the tokenizer does.
     """
 
     def __init__(self, path: str):
@@ -47,45 +50,54 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.byte_letters = _byte_letters()
 
     def _encoded(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         """One pre-token: letters only, or marks only, in lower case."""
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= CACHED_WORDS:
-                self.parts.clear()
-            ids = [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.byte_letters))]
-            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.byte_letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        """A lower-case word of Latin letters and other characters below U+0250."""
+        if word.isalpha():
+            return self._part(word)
         core = word.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-        if core and core.isalpha() and max(core) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", core):
-            rest = word[len(core):]
-            return self._part(core.lower()) + (self._part(rest) if rest else b"") if not rest.startswith("<|") and "<|" not in rest else self._encoded(word)
+        rest = word[len(core):]
+        if core.isalpha() and "<|" not in rest:
+            return (self.known.get(core) or self._part(core)) + (self.known.get(rest) or self._part(rest))
         return self._encoded(word)
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85᠎​﻿") or ("<|" in text and "|>" in text):
+        if _SEPARATORS.search(text) or ("<|" in text and "|>" in text):
             return self._encoded(text)
-        words, known = text.split(), self.known
-        for word in set(words).difference(known):
-            if len(known) >= CACHED_WORDS:
-                known.clear()
-                for w in set(words):
-                    known[w] = self._word(w)
-                break
-            known[word] = self._word(word)
+        if text.isascii() or (max(text) < "ɐ" and "İ" not in text):
+            words, make = text.lower().split(), self._word
+        else:
+            words, make = text.split(), self._encoded
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            missing = set(words).difference(known)
+        if len(known) + len(missing) > CACHED_WORDS:
+            known.clear()
+            missing = set(words)
+        if len(missing) > CACHED_WORDS:  # one text with more words than are remembered
+            return b"".join(self.ids(" ".join(words[i : i + CACHED_WORDS])) for i in range(0, len(words), CACHED_WORDS))
+        for word in missing:
+            known[word] = make(word)
         return b"".join(map(known.__getitem__, words))
 
 
+#: Characters that separate words for Python alone or for the tokenizer alone.
+_SEPARATORS = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level BPE shows each byte as: itself if printable, else the next free one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -112,63 +124,197 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFra
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
 
 
-def best_configuration(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths that fits: an unbounded knapsack by dynamic programming over the capacity."""
-    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c], taken[c] = best[c - 1], -1
-        if n := ends[c]:
-            gain = best[c - lengths[:n]] + values[:n]
-            k = int(gain.argmax())
-            if gain[k] > best[c]:
-                best[c], taken[c] = gain[k], k
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if taken[c] < 0:
-            c -= 1
-        else:
-            size = int(lengths[taken[c]])
+class Knapsack:
+    """The unbounded knapsack over lengths 1 to capacity, by dynamic programming: the pricing problem of the program."""
+
+    def __init__(self, values: np.ndarray, capacity: int):
+        """values[l] is the price of length l, minus infinity where it may not be used; values[0] is not read."""
+        best, exact, last = np.zeros(capacity + 1), np.zeros(capacity + 1, bool), np.zeros(capacity + 1, np.int64)
+        self.values, self.best, self.exact, self.last = values, best, exact, last
+        usable, exact[0] = np.flatnonzero(np.isfinite(values[1:])) + 1, True
+        self.longest = int(usable[-1]) if len(usable) else 0
+        down = values[self.longest : 0 : -1].copy()
+        for c in range(int(usable[0]) if len(usable) else capacity + 1, capacity + 1):
+            w = min(c, self.longest)
+            gain = best[c - w : c] + down[self.longest - w :]
+            most = gain.max()
+            if most > best[c - 1]:
+                best[c], last[c] = most, c  # last: where the next length is taken
+            else:
+                best[c], last[c] = best[c - 1], last[c - 1]
+            exact[c] = ((gain >= best[c] - TOLERANCE) & exact[c - w : c]).any()  # nearly the best without any room left
+
+    def column(self, need: np.ndarray, chance: np.ndarray, whole: bool) -> dict[int, int]:
+        """A configuration of lengths still needed whose every step is nearly the best, if it can be one that leaves no room.
+
+        With `whole`, it holds no length more often than it is needed, and prefers long ones: short ones fill up the rest.
+        """
+        out: dict[int, int] = {}
+        wanted, c = need * chance, len(self.best) - 1
+        if whole:
+            wanted *= (np.arange(c + 1) / c) ** 4
+        while c > 0 and self.longest:
+            w = min(c, self.longest)
+            good = self.best[c - w : c][::-1] + self.values[1 : w + 1] >= self.best[c] - TOLERANCE
+            if self.exact[c]:
+                good &= self.exact[c - w : c][::-1]
+            size = int(np.where(good, wanted[1 : w + 1], 0.0).argmax()) + 1
+            if not wanted[size] or not good[size - 1]:
+                if self.last[c] == c:
+                    break
+                c = int(self.last[c])
+                continue
             out[size] = out.get(size, 0) + 1
             c -= size
-    return out
-
-
-def linear_program(counts: dict[int, int], capacity: int, rounds: int = 240, rate: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """Configurations with their fractional amounts: covering by multiplicative weights."""
-    lengths = np.array(sorted(counts))
-    demand = np.array([counts[x] for x in lengths], float)
-    place = {int(x): i for i, x in enumerate(lengths)}
-    weights, amounts, bought = np.ones(len(lengths)), {}, {}
-    for _ in range(rounds if len(lengths) else 0):
-        # A length's price: its size (space is what a sequence has), raised while it is little covered.
-        config = best_configuration(lengths, lengths * (0.5 + 0.5 * weights), capacity)
-        if not config:
-            break
-        key = tuple(sorted(config.items()))
-        amount = min(demand[place[x]] / n for x, n in config.items())
-        amounts[key] = amounts.get(key, 0) + rate * amount
-        bought[key] = config
-        for x, n in config.items():
-            weights[place[x]] *= np.exp(-rate * n * amount / demand[place[x]])
-    return sorted(((bought[k], a) for k, a in amounts.items()), key=lambda x: (-x[1], sorted(x[0].items())))
+            if whole and out[size] + 1 > need[size]:
+                wanted[size] = 0.0
+        return out
 
+    def worth(self, config: dict[int, int]) -> float:
+        return sum(self.values[x] * n for x, n in config.items())
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations with their numbers, which use every piece exactly once."""
-    left, made = dict(counts), []
-    if full := left.pop(capacity, 0):
-        made.append(({capacity: 1}, full))
-    for config, amount in linear_program({k: v for k, v in left.items() if v}, capacity):
-        if sum(x * n for x, n in config.items()) < capacity:
-            continue
-        times = min([int(np.ceil(amount)), *(left[x] // n for x, n in config.items())])
+
+class Program:
+    """A configuration linear program's solution: columns (configuration, amount), dual prices and their lower bound."""
+
+    def __init__(self, columns: list[tuple[dict[int, int], float]], prices: np.ndarray, bound: float):
+        self.columns, self.prices, self.bound = columns, prices, bound
+
+    @property
+    def value(self) -> float:
+        return sum(amount for _, amount in self.columns)
+
+    def room(self, capacity: int) -> float:
+        """What the columns leave unused."""
+        return sum(amount * (capacity - sum(x * n for x, n in config.items())) for config, amount in self.columns)
+
+    @property
+    def gap(self) -> float:
+        """By how much the cover may be larger than the best one, at most."""
+        return self.value / self.bound - 1 if self.bound else 0.0
+
+
+def linear_program(counts: dict[int, int], capacity: int, rounds: int | None = None, rate: float = 4.0, whole: bool = False, seed: int = 9) -> Program:
+    """Cover every length as often as it occurs by as few configurations as it takes, by multiplicative weights.
+
+    Each round prices the lengths (by their size, times exp of how far their cover lags behind), solves the knapsack
+    under these prices, and buys configurations of nearly the best value until the cover has this round's share of all
+    tokens. The knapsack's value scales the prices to a feasible dual solution, which bounds the optimum; rounds end
+    once the cover is that close to the bound. What then is left is covered by a last purchase, so that the cover is
+    feasible. With `whole`, only whole numbers are bought, and the last purchase is left out.
+    """
+    demand = np.zeros(capacity + 1)
+    for length, n in counts.items():
+        demand[length] = n
+    used = np.flatnonzero(demand)
+    if not len(used):
+        return Program([], np.zeros(capacity + 1), 0.0)
+    rounds = rounds or max(6, min(48, 2 * capacity // len(used)))
+    size = np.arange(capacity + 1) / capacity
+    r, cover, columns = np.random.default_rng(seed), np.zeros(capacity + 1), []
+    prices, bound, tokens, held = np.zeros(capacity + 1), 0.0, float(demand @ size), 0.0
+
+    def buy(config: dict[int, int], amount: float, *needs: np.ndarray) -> None:
+        columns.append((config, amount))
+        for x, n in config.items():
+            cover[x] += n * amount
+            for need in needs:
+                need[x] -= n * amount
+                if need[x] < 1e-9 * demand[x]:
+                    need[x] = 0.0
+
+    for turn in range(1, rounds + 1):
+        share, misses = turn / rounds, 0
+        values = np.full(capacity + 1, -np.inf)
+        values[used] = size[used] * np.exp(rate * np.clip(share - cover[used] / demand[used], -1, 1))
+        knapsack = Knapsack(values, capacity)
+        if (worth := float(demand[used] @ values[used]) / knapsack.best[-1]) > bound:
+            prices, bound = np.where(np.isfinite(values), values, 0.0) / knapsack.best[-1], worth
+        # A length may run one share ahead, so that there is always something to fill up with.
+        need = np.clip(min(1.0, share + 1 / rounds) * demand - cover, 0.0, None)
+        if whole:
+            need = np.minimum(np.ceil(need), demand - cover)
+        while held < share * tokens and need.any() and misses < 3:
+            before = len(columns)
+            for _ in range(COLUMNS):
+                config = knapsack.column(need, r.random(capacity + 1), whole)
+                amount = min((need[x] / n for x, n in config.items()), default=0.0)
+                if whole:
+                    amount = float(int(amount))
+                if amount <= 0 or knapsack.worth(config) < (1 - CLOSE) * knapsack.best[-1]:
+                    continue
+                buy(config, amount, need)
+                held += amount * sum(size[x] * n for x, n in config.items())
+                if held >= share * tokens:
+                    break
+            misses += len(columns) - before < COLUMNS // 8
+            if held < share * tokens and need.any():
+                knapsack = Knapsack(np.where(need > 0, values, -np.inf), capacity)  # of what this round still asks for
+        if held >= tokens * (1 - CLOSE):
+            break
+    need = np.maximum(demand - cover, 0.0)
+    for length in used[::-1] if not whole else ():
+        while need[length] > 1e-9 * demand[length]:
+            config, c = {}, capacity
+            for x in used[::-1]:
+                if need[x] > 1e-9 * demand[x] and x <= c:
+                    config[int(x)] = c // int(x)
+                    c %= int(x)
+            buy(config, min(need[x] / n for x, n in config.items()), need)
+    return Program(columns, prices, bound)
+
+
+def rounded(program: Program, left: dict[int, int], capacity: int, room: float) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of the program's columns that left can pay, taken from it; amounts are carried from column to column.
+
+    Columns that leave no room come first; the others together may leave `room`.
+    """
+    made, carry = [], 0.5
+    for config, amount in sorted(program.columns, key=lambda c: -sum(x * n for x, n in c[0].items())):
+        free = capacity - sum(x * n for x, n in config.items())
+        carry += amount
+        times = min([int(carry), *(left.get(x, 0) // n for x, n in config.items()), *([max(0, int(room // free))] if free else [])])
+        carry -= int(carry)
         if times > 0:
+            room -= free * times
             made.append((config, times))
             for x, n in config.items():
                 left[x] -= n * times
-    return made + best_fit({k: v for k, v in left.items() if v}, capacity)
+    return made
+
+
+def planned(counts: dict[int, int], capacity: int, phases: int = 6) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Whole configurations with their numbers, which use every piece exactly once, and how many entries come from the program.
+
+    The program is solved and rounded; what rounding leaves is bought from the residual program in whole numbers, until
+    that is a small share or yields no more; best fit packs the rest. Rounded columns may leave as much room as the
+    program's cover does; if that takes more sequences than the tokens fill, it is tried with columns that leave none and
+    with other shares.
+    """
+    counts = {k: v for k, v in counts.items() if v}
+    full = [({capacity: 1}, counts.pop(capacity))] if capacity in counts else []
+    total = sum(x * n for x, n in counts.items())
+    first, tried = linear_program(counts, capacity), []
+    for slack, least in ((1.0, 0.08), (0.0, 0.05), (0.0, 0.08), (0.0, 0.12), (0.0, 0.25)):
+        left, made = dict(counts), list(full)
+        for phase in range(phases):
+            before = sum(x * n for x, n in left.items())
+            if before <= least * total:
+                break
+            program = first if not phase else linear_program(left, capacity, 2, whole=True, seed=9 + phase)
+            made += rounded(program, left, capacity, slack * program.room(capacity))
+            left = {k: v for k, v in left.items() if v}
+            if phase and sum(x * n for x, n in left.items()) > 0.9 * before:
+                break
+        tried.append((made + best_fit(left, capacity), len(made)))
+        if sum(times for _, times in tried[-1][0]) <= sum(times for _, times in full) - (-total // capacity):
+            break
+    return min(tried, key=lambda p: sum(times for _, times in p[0]))
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole configurations with their numbers, which use every piece exactly once."""
+    return planned(counts, capacity)[0]
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -222,6 +368,7 @@ def slots(made: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
 def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of documents(doc_id, text) with sequence_id and offset; see the module's text."""
     spark = documents.sparkSession
+    small_batches(spark)
     cut = written(pieces(documents, path, capacity), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = min(100_000, max(64, sum(counts.values()) // 20_000))
@@ -232,10 +379,10 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = groups.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
-    # At most some configurations for each of `capacity` lengths, whatever the input: small enough to send everywhere.
-    placed = ranked.join(F.broadcast(places), "length").where("rank >= lo and rank < hi")
+    # Rows for the program's columns, whose number depends on `capacity` and the distinct lengths alone.
+    placed = ranked.join(F.broadcast(places) if len(table) <= BROADCAST_ROWS else places, "length").where("rank >= lo and rank < hi")
     nth = F.col("rank") - F.col("lo")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

@@ -1,12 +1,13 @@
 """Operators against definitions that know nothing of their shortcuts."""
 
+import collections
 import hashlib
 import itertools
 import string
 
 import numpy as np
 
-from radiograph.llm import decontamination, licenses, secrets
+from radiograph.llm import decontamination, licenses, packing, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -114,3 +115,34 @@ def test_pipeline_decides_for_rows_without_an_id_and_repeated_rows(spark, tmp_pa
     assert sorted((str(x["doc_id"]), x["text"]) for x in single.collect() if item not in x["text"]) == sorted([("None", one), ("5", two), ("5", three), ("8", f"{four} more")])
     clean = corpus_pipeline.drop_benchmark_text(spark, rows, str(tmp_path))
     assert clean.count() == 8 and not any(item in x["text"] for x in clean.collect())
+
+
+def test_packing_program_is_feasible_and_close_to_its_bound():
+    r = np.random.default_rng(1)
+    for counts in ({1000: 50, 900: 70, 150: 90}, dict(collections.Counter(np.clip(np.exp(r.normal(5.8, 1, 4000)).astype(int) + 1, 1, 2047).tolist()))):
+        program = packing.linear_program(counts, 2048)
+        held = collections.Counter()
+        for config, amount in program.columns:
+            assert amount > 0 and sum(x * n for x, n in config.items()) <= 2048
+            for x, n in config.items():
+                held[x] += n * amount
+        assert all(held[x] >= n * (1 - 1e-6) for x, n in counts.items())
+        assert packing.Knapsack(np.where(program.prices > 0, program.prices, -np.inf), 2048).best[-1] <= 1 + 1e-9
+        assert abs(sum(program.prices[x] * n for x, n in counts.items()) - program.bound) < 1e-6 * program.bound
+        assert program.gap < 0.03
+
+
+def test_packing_comes_from_the_program():
+    r = np.random.default_rng(0)
+    for n in (600, 10_000):
+        counts = dict(collections.Counter(np.clip(np.exp(r.normal(5.8, 1, n)).astype(int) + 1, 1, 2047).tolist()))
+        made, from_program = packing.planned(counts, 2048)
+        used = collections.Counter()
+        for config, times in made:
+            assert sum(x * k for x, k in config.items()) <= 2048 and times > 0
+            for x, k in config.items():
+                used[x] += k * times
+        assert used == counts
+        whole = sum(times for _, times in made)
+        assert sum(times for _, times in made[:from_program]) >= 0.85 * whole and whole <= -(-sum(x * k for x, k in counts.items()) // 2048) + 1
+    assert sum(times for _, times in packing.planned({1000: 50, 900: 70, 150: 90}, 2048)[0][:packing.planned({1000: 50, 900: 70, 150: 90}, 2048)[1]]) >= 60
