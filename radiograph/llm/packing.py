@@ -19,7 +19,7 @@ import bisect
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, small_batches, written
 
 CAPACITY = 2048
-#: Distinct words whose ids a task remembers; when it has so many, it begins anew.
-CACHED_WORDS = 100_000
+#: Distinct words whose ids a task remembers; when it has so many, it begins anew and keeps these as the older ones.
+CACHED_WORDS = 150_000
 #: How far below the best value each step and the whole of a bought configuration may be, and configurations tried before the knapsack is solved anew.
 TOLERANCE, CLOSE, COLUMNS = 2e-3, 1e-2, 64
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,6 +50,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.byte_letters = _byte_letters()
 
     def _encoded(self, text: str) -> bytes:
@@ -68,9 +69,12 @@ class WordTokenizer:
         core = word.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
         rest = word[len(core):]
         if core.isalpha() and "<|" not in rest:
-            return (self.known.get(core) or self._part(core)) + (self.known.get(rest) or self._part(rest))
+            return self._remembered(core) + self._remembered(rest)
         return self._encoded(word)
 
+    def _remembered(self, part: str) -> bytes:
+        return self.known.get(part) or self.older.get(part) or self._part(part)
+
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         if _SEPARATORS.search(text) or ("<|" in text and "|>" in text):
@@ -79,19 +83,16 @@ class WordTokenizer:
             words, make = text.lower().split(), self._word
         else:
             words, make = text.split(), self._encoded
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            missing = set(words).difference(known)
-        if len(known) + len(missing) > CACHED_WORDS:
-            known.clear()
-            missing = set(words)
-        if len(missing) > CACHED_WORDS:  # one text with more words than are remembered
-            return b"".join(self.ids(" ".join(words[i : i + CACHED_WORDS])) for i in range(0, len(words), CACHED_WORDS))
-        for word in missing:
-            known[word] = make(word)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(self._looked_up(words[i : i + CACHED_WORDS], make) for i in range(0, len(words), CACHED_WORDS))
+
+    def _looked_up(self, words: list[str], make: Callable[[str], bytes]) -> bytes:
+        known, older = self.known, self.older
+        for word in set(words).difference(known):
+            known[word] = older.get(word) or make(word)
+        found = b"".join(map(known.__getitem__, words))
+        if len(known) > CACHED_WORDS:
+            self.known, self.older = {}, known
+        return found
 
 
 #: Characters that separate words for Python alone or for the tokenizer alone.
