@@ -171,6 +171,27 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[3]["held_out"] == (zlib.crc32(b"3") % 5 == 0)
 
 
+@pytest.mark.parametrize("crowded", [32, 2])
+def test_embeddings_count_every_link(spark, monkeypatch, crowded):
+    monkeypatch.setattr(embeddings, "CROWDED", crowded)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    r = np.random.default_rng(7)
+    base = r.normal(size=(12, 64))
+    rows = [(i, (base[i % 12] + r.normal(size=64) * r.choice([0.01, 0.05, 0.1, 0.15])).tolist(), "ab"[i % 2] if i % 24 else "a", "x") for i in range(700)]
+    rows += [(1000 + i, rows[3][1], rows[3][2], "x") for i in range(40)]
+    got = {x["vec_id"]: x for x in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, key string")).collect()}
+    u = np.array([v for _, v, *_ in rows], np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    labels = np.array([x[2] for x in rows])
+    linked = (u @ u.T >= 0.98) & (labels[:, None] == labels[None, :]) & ~np.eye(len(u), dtype=bool)
+    root = np.array([x[0] for x in rows])
+    for _ in range(50):
+        root = np.minimum(root, np.where(linked, root[None, :], 10**9).min(1))
+    found = np.array([got[x[0]]["n_links"] for x in rows])
+    assert (found <= linked.sum(1)).all() and found.sum() >= 0.98 * linked.sum() > 0
+    assert np.mean([got[x[0]]["component_id"] == k for x, k in zip(rows, root, strict=True)]) > 0.98 and got[rows[3][0]]["n_links"] >= 40
+
+
 @pytest.mark.parametrize("frequent", [1 << 19, 40])
 def test_scores(spark, prose, monkeypatch, frequent):
     monkeypatch.setattr(scoring, "FREQUENT", frequent)
