@@ -8,21 +8,28 @@ its n-grams with the landmarks' n-grams, and the kernel values with the weights.
 
 Texts that are null or have no letter are `und` with score 0. Any number of languages is learned from rows with a
 language; without any such row all texts are `und`. Ties go to the alphabetically first language. Rows are judged one
-by one; extra columns are ignored.
+by one, so repeated rows repeat their result (and are learned from once); extra columns are ignored, and columns named
+lang_pred or score are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _UPPER_TO_LOWER, SLICE_BYTES, remainder, row_slices, text_bytes
+from .common import _UPPER_TO_LOWER, SLICE_BYTES, remainder, row_slices, small_batches, text_bytes
 
 PLACES = 1 << 16
-#: Bounds of what is learned from: labelled rows for each language, and landmarks among them.
+#: Bounds of what is learned from: labelled rows for each language, and landmarks among them; and of all languages
+#: together, but for one landmark and eight rows that each language has at least.
 ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 400, 32
+ALL_ROWS, ALL_LANDMARKS = 8_000, 512
+#: Rows of one matrix product.
+BATCH = 128
 RIDGE = 1e-3
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 
@@ -54,31 +61,37 @@ class KernelModel:
         self.languages, self.grams, self.sizes, self.weights = languages, grams, sizes, weights
 
     def kernel(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The rows' kernel values with the landmarks: a product of two presence matrices for each batch of rows."""
         out = np.zeros((len(sizes), self.grams.shape[1]), np.float32)
-        ends = np.cumsum(sizes)
-        for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
-            if n:
-                out[i] = np.ones(n, np.float32) @ self.grams[places[end - n : end]].astype(np.float32)
+        ends, index = np.cumsum(sizes), np.zeros(PLACES, np.int64)
+        for lo in range(0, len(sizes), BATCH):
+            hi = min(len(sizes), lo + BATCH)
+            held = places[ends[lo] - sizes[lo] : ends[hi - 1]]
+            index[:] = 0
+            index[held] = 1
+            own = np.flatnonzero(index)
+            index[own] = np.arange(len(own))
+            batch = np.zeros((hi - lo, len(own)), np.float32)
+            batch[np.repeat(np.arange(hi - lo), sizes[lo:hi]), index[held]] = 1
+            out[lo:hi] = batch @ self.grams[own].astype(np.float32)
         return out / np.sqrt(np.maximum(sizes, 1)[:, None] * self.sizes[None, :])
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return self.kernel(*present(data, offsets)) @ self.weights
 
 
-def trained(texts: list[str], languages: list[str]) -> KernelModel:
+def trained(rows: list[np.ndarray], languages: list[str]) -> KernelModel:
+    """The model of labelled rows, each given by its places."""
     known = sorted(set(languages))
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
-    places, sizes = present(data, offsets)
+    sizes = np.array([len(x) for x in rows], np.int64)
     marks: list[int] = []
     for language in known:
-        marks += [i for i, x in enumerate(languages) if x == language][:LANDMARKS_PER_LANGUAGE]
-    ends = np.cumsum(sizes)
+        marks += [i for i, x in enumerate(languages) if x == language][: max(1, min(LANDMARKS_PER_LANGUAGE, ALL_LANDMARKS // len(known)))]
     grams = np.zeros((PLACES, len(marks)), np.uint8)
     for j, i in enumerate(marks):
-        grams[places[ends[i] - sizes[i] : ends[i]], j] = 1
+        grams[rows[i], j] = 1
     model = KernelModel(known, grams, np.maximum(sizes[marks], 1), np.zeros((len(marks), len(known)), np.float32))
-    cross = model.kernel(places, sizes).astype(float)
+    cross = model.kernel(np.concatenate(rows), sizes).astype(float)
     values, vectors = np.linalg.eigh(cross[marks])
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
     features = cross @ root
@@ -89,28 +102,54 @@ def trained(texts: list[str], languages: list[str]) -> KernelModel:
     return model
 
 
-def sample(documents: DataFrame, folds: int = 5) -> list[tuple[str, str]]:
-    """(lang, text): for each language the labelled training rows with the smallest hashes, up to the bound.
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(2))
+        places, sizes = present(data, offsets)
+        ends = np.cumsum(sizes)
+        held = [places[e - n : e].astype(np.uint16).tobytes() for n, e in zip(sizes, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary())], names=["lang", "h", "places"])
+
+
+def sample(documents: DataFrame, folds: int = 5) -> list[tuple[str, np.ndarray]]:
+    """(lang, places): for each language the labelled training rows with the smallest hashes, up to the bound.
 
-    The hashes' bounds are found first, so that no text but the sample's own reaches the driver.
+    One pass counts the hashes' leading zeros for each language; a second takes the rows with enough of them. What
+    reaches the driver of a row is the places of its n-grams, at most 128 KB however long its text is.
     """
     rows = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", folds) != 0))
-    hashed = rows.select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h"))
-    languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(256).collect()]
-    picked = F.lit(False)
-    for language in languages:
-        own = F.col("lang") == language
-        most = hashed.where(own).select("h").orderBy("h").limit(ROWS_PER_LANGUAGE).agg(F.max("h")).first()[0]
-        picked = picked | (own & (F.col("h") <= most))
-    got = hashed.where(picked).limit(2 * ROWS_PER_LANGUAGE * max(1, len(languages))).select("lang", "text", "h").collect()
-    return [(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["h"], r["text"]))]
+    hashed = rows.select("lang", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"), "text")
+    zeros = (F.lit(63) - F.length(F.bin("h"))).alias("zeros")
+    counted = hashed.select("lang", zeros, "h").groupBy("lang", "zeros").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    sizes: dict[str, dict[int, int]] = {}
+    for r in counted:
+        sizes.setdefault(r["lang"], {})[r["zeros"]] = r["n"]
+    if not sizes:
+        return []
+    wanted, bounds = max(8, min(ROWS_PER_LANGUAGE, ALL_ROWS // len(sizes))), []
+    for language, own in sizes.items():
+        held, least = 0, 0
+        for level in sorted(own, reverse=True):
+            held += own[level]
+            if held >= 1.2 * wanted:
+                least = level
+                break
+        bounds.append((language, (1 << (63 - least)) - 1))
+    most = documents.sparkSession.createDataFrame(bounds, "lang string, most long")  # a row for each language
+    near = hashed.join(F.broadcast(most), "lang").where("h <= most").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    # The exact bound among these, so that no places but the sample's own reach the driver.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= wanted).select("lang", "h", "text")
+    got = picked.mapInArrow(_presence, "lang string, h long, places binary").collect()
+    return [(r["lang"], np.frombuffer(r["places"], np.uint16).astype(np.int64)) for r in sorted(got, key=lambda r: (r["lang"], r["h"]))]
 
 
 def with_language(documents: DataFrame, folds: int = 5) -> DataFrame:
     """documents(doc_id, text, lang, ...) with lang_pred and score; score is between 0 and 1."""
     documents = documents.drop("lang_pred", "score")
+    small_batches(documents.sparkSession)
     learned = sample(documents, folds)
-    model = trained([t for _, t in learned], [x for x, _ in learned]) if learned else None
+    model = trained([x for _, x in learned], [x for x, _ in learned]) if learned else None
 
     @F.arrow_udf("lang_pred string, score double")
     def judge(column: pa.Array) -> pa.Array:
