@@ -19,7 +19,7 @@ import bisect
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from .common import BROADCAST_ROWS, small_batches, written
 
 CAPACITY = 2048
 #: Distinct words whose ids a task remembers; when it has so many, it begins anew and keeps these as the older ones.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 #: How far below the best value each step and the whole of a bought configuration may be, and configurations tried before the knapsack is solved anew.
 TOLERANCE, CLOSE, COLUMNS = 2e-3, 1e-2, 64
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -80,15 +80,23 @@ class WordTokenizer:
         if _SEPARATORS.search(text) or ("<|" in text and "|>" in text):
             return self._encoded(text)
         if text.isascii() or (max(text) < "ɐ" and "İ" not in text):
-            words, make = text.lower().split(), self._word
+            words, lowered = text.lower().split(), True
         else:
-            words, make = text.split(), self._encoded
-        return b"".join(self._looked_up(words[i : i + CACHED_WORDS], make) for i in range(0, len(words), CACHED_WORDS))
+            words, lowered = text.split(), False
+        return b"".join(self._looked_up(words[i : i + CACHED_WORDS], lowered) for i in range(0, len(words), CACHED_WORDS))
 
-    def _looked_up(self, words: list[str], make: Callable[[str], bytes]) -> bytes:
-        known, older = self.known, self.older
+    def _looked_up(self, words: list[str], lowered: bool) -> bytes:
+        known, older, tokenize = self.known, self.older, self.tokenizer.model.tokenize
         for word in set(words).difference(known):
-            known[word] = older.get(word) or make(word)
+            ids = older.get(word)
+            if ids is None:
+                if not lowered:
+                    ids = self._encoded(word)
+                elif word.isascii() and word.isalpha():
+                    ids = array("I", [t.id for t in tokenize(word)]).tobytes()
+                else:
+                    ids = self._word(word)
+            known[word] = ids
         found = b"".join(map(known.__getitem__, words))
         if len(known) > CACHED_WORDS:
             self.known, self.older = {}, known

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _UPPER_TO_LOWER, SLICE_BYTES, remainder, remainder_of, row_slices, text_bytes, word_hashes, written
+from .common import _UPPER_TO_LOWER, SLICE_BYTES, remainder, remainder_of, row_slices, small_batches, text_bytes, word_hashes, written
 
 FOLDS = 10
 DEPTH = 5
@@ -191,6 +191,7 @@ def counted_pairs(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of documents(doc_id, text)."""
     spark = documents.sparkSession
+    small_batches(spark)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = written(documents.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counted")
     tokens = counted.where(F.col("kind") == TOKEN).select("key", "n", F.log10(F.col("n") + F.lit(0.1)).alias("value"))

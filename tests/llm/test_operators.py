@@ -262,11 +262,40 @@ def test_urls(spark):
 def test_chat(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 600, "ann", "Late"), (2, None, None, "x"), (3, 0, "system", "alone"), (None, 1, "zoe", "q")]
     got = {(r["conv_id"], r["participant"], r["part"]): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 2), (1, "bob", 2), (2, "unknown", 0), (3, "system", 0), (None, "zoe", 0)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (3, "system", 0), (None, "zoe", 0)}
     one = got[1, "ann", 0]
-    assert one["text"] == "<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
-    a, b = map(int, one["mask"].split(":"))
-    assert one["text"][a:b] == "Hi" and got[1, "bob", 2]["n_own"] == 0 and got[1, "bob", 2]["mask"] == ""
+    assert one["text"] == "<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>assistant\nLate<|im_end|>\n"
+    assert [one["text"][slice(*map(int, m.split(":")))] for m in one["mask"].split(",")] == ["Hi", "Late"] and got[1, "bob", 0]["n_own"] == 1
+
+
+@pytest.mark.parametrize("part_characters", [100, 1_000, 1 << 19])
+def test_chat_renders_whole_dialogues(spark, part_characters):
+    r = np.random.default_rng(11)
+    rows = [(c, int(r.integers(0, 40)) if r.random() < 0.9 else None, str(r.choice(["ann", "bob", "system", "é"])), "wörd " * int(r.integers(0, 6)), c) for c in (1, 2, None) for _ in range(60)]
+    rows += [(4, 1, "ann", "same", 1)] * 50 + [(5, 1, "system", "only", 1)] * 9 + [(6, 2, "bob", "y" * 3_000, 1), (6, 1, "ann", "", 1)]
+    rows = [*rows, *rows[:5]]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part long"), part_characters).collect()
+    whole = collections.defaultdict(list)
+    for x in got:
+        whole[x["conv_id"], x["participant"]].append(x)
+    want = {}
+    for c in {x[0] for x in rows}:
+        turns = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0, x[2].encode(), x[3].encode()))
+        for who in sorted({x[2] for x in turns} - {"system"}) or ["system"]:
+            text, masks = "", []
+            for x in turns:
+                text += f"<|im_start|>{'assistant' if x[2] == who else x[2] if x[2] == 'system' else 'user name=' + x[2]}\n"
+                if x[2] == who:
+                    masks.append(f"{len(text)}:{len(text) + len(x[3])}")
+                text += x[3] + "<|im_end|>\n"
+            want[c, who] = (text, ",".join(masks), len(turns))
+    assert set(whole) == set(want)
+    for key, parts in whole.items():
+        parts.sort(key=lambda x: x["part"])
+        assert ("".join(x["text"] for x in parts), ",".join(filter(None, (x["mask"] for x in parts))), sum(x["n_turns"] for x in parts)) == want[key]
+        assert [x["start"] for x in parts] == [len("".join(y["text"] for y in parts[:i])) for i in range(len(parts))]
+    assert part_characters > 1_000 or len(got) > len(want)
+    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
 def test_pipeline(spark, tmp_path):

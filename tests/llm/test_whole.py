@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import itertools
+import re
 import string
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from radiograph.llm import decontamination, licenses, packing, secrets
+from radiograph.llm import decontamination, language, licenses, near_duplicates, packing, secrets, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -146,3 +148,131 @@ def test_packing_comes_from_the_program():
         whole = sum(times for _, times in made)
         assert sum(times for _, times in made[:from_program]) >= 0.85 * whole and whole <= -(-sum(x * k for x, k in counts.items()) // 2048) + 1
     assert sum(times for _, times in packing.planned({1000: 50, 900: 70, 150: 90}, 2048)[0][:packing.planned({1000: 50, 900: 70, 150: 90}, 2048)[1]]) >= 60
+
+
+def test_url_regression_on_held_out_names():
+    names, rows, right = [*urls.UNWANTED, *urls.WANTED], urls.labelled_urls(), []
+    for fold in range(4):
+        held = set(names[fold::4])
+        known = [r for r in rows if not held & set(r[0].split("."))]
+        model = urls.fitted(known)
+        right += [(urls.score_of(h, p, model) >= 0.5) == bool(y) for h, p, y in rows if held & set(h.split("."))]
+    assert len(right) == len(rows) and np.mean(right) >= 0.8
+
+
+def test_url_rules_by_brute_force(spark):
+    r = np.random.default_rng(2)
+    hosts = ["com", "example.com", "a.example.com", "notexample.com", "net", "example.net", "EXAMPLE.net", "x.org", "org", "xorg", ""]
+    rows = [(i, f"{r.choice(['http', ''])}://{r.choice(hosts)}{r.choice(['', '/'])}{r.choice(['en/7', 'en/', 'de/8', 'de/', 'es/1', ''])}{r.choice(['', '?en/', '#x'])}") for i in range(600)]
+    rows += [(None, "http://x.org/es/"), (5, "http://x.org/es/"), (700, ""), (701, "://"), (702, "http://" + "y" * 100_000 + "/en/")]
+    got = collections.Counter((x["page_id"], x["host"], x["path"], x["rule"], x["verdict"] if x["rule"] else None) for x in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    want = collections.Counter()
+    for i, url in rows:
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path, host = re.match("[^?#]*", rest[len(host):])[0], host.lower()
+        fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[i, host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else None] += 1
+    assert got == want
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_base_secrets_by_brute_force(spark):
+    r = np.random.default_rng(9)
+    bits = ["token", "API_KEY", "apikey", "PassWord", "passwd", "secret", '"', "'", " ", ": ", "=", " = ", "AKIA", "ABCDEFGHIJ0123", "0123456789abcdef", "dead", "x/+_.=-9", "é", "\n", "zq"]
+    texts = [(i, "".join(r.choice(bits, int(r.integers(0, 30))))) for i in range(400)] + [(None, "token=abcdefghijkl"), (3, "token=abcdefghijkl"), (500, None), (501, "a" * 300_000 + " secret: " + "b" * 20)]
+    value = set(string.ascii_letters + string.digits + "+/_.=-")
+
+    def run(text, at, of):
+        end = at
+        while end < len(text) and text[end] in of:
+            end += 1
+        return end
+
+    def base(text):
+        found, low = [], "".join(c.lower() if c.isascii() else c for c in text)
+        at = 0
+        while at < len(text):  # names by priority, as in the pattern
+            for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+                if not low.startswith(name, at):
+                    continue
+                p = at + len(name)
+                p += text[p : p + 1] in ('"', "'") and p < len(text)
+                p = run(text, p, " ")
+                if text[p : p + 1] not in (":", "="):
+                    continue
+                p = run(text, p + 1, " ")
+                p += text[p : p + 1] in ('"', "'") and p < len(text)
+                if (end := run(text, p, value)) > p:
+                    if end - p >= 12:
+                        found.append((at, 0, f"assign:{at}:{end}"))
+                    at = end - 1
+                    break
+            at += 1
+        for kind, order, begin, of, least in (("access", 1, "AKIA", set(string.ascii_uppercase + string.digits), 18), ("hex", 2, "", set("0123456789abcdef"), 16)):
+            at = 0
+            while at < len(text):
+                end = run(text, at + len(begin), of) if text.startswith(begin, at) else at
+                if end > at + len(begin):
+                    if end - at >= least:
+                        found.append((at, order, f"{kind}:{at}:{end}"))
+                    at = end
+                else:
+                    at += 1
+        return [x for *_, x in sorted(found)]
+
+    rows = secrets.digest(secrets.find_secrets(documents(spark, texts))).collect()
+    got = collections.Counter((x["doc_id"], x["base_sha256"], x["n_assign"] + x["n_access"] + x["n_hex"]) for x in rows)
+    want = collections.Counter()
+    for i, text in texts:
+        spans = base(text or "")
+        want[i, hashlib.sha256(",".join(spans).encode()).hexdigest(), len(spans)] += 1
+    assert got == want and sum(n for _, _, n in want) > 50
+    assert secrets.find_secrets(documents(spark, [])).count() == 0
+
+
+def test_near_duplicate_bounds_are_rare():
+    from math import comb
+
+    tail = lambda n, k, p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    assert tail(near_duplicates.SYMBOLS, 2 * near_duplicates.CHUNKS, 0.25) < 1e-5
+    assert tail(near_duplicates.NIBBLES, near_duplicates.MOST_DIFFERENT + 1, 0.25 * 15 / 16) < 1e-9
+
+
+def test_language_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert len(rows) > 100 and np.mean([x["lang"] == x["lang_pred"] for x in rows]) >= 0.98
+
+
+def test_language_with_hard_rows(spark):
+    kinds = {f"l{k:03}": chr(97 + k % 26) * 3 + chr(97 + k // 26) * 2 for k in range(300)}  # more languages than any bound of ours
+    rows = [(10 * i + k, f"{text} {text}{i} " * 3, lang) for i, (lang, text) in enumerate(kinds.items()) for k in range(4)]
+    rows += [(7, "dup dup", "l001")] * 50 + [(None, None, None), (None, "abc", "l002"), (99_999, "aaaaa " * 200_000, "l000"), (99_998, "", "l000")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, lang_pred string, score int")
+    got = language.identify(docs).collect()
+    assert len(got) == len(rows) and sum(x["lang_pred"] == lang for x, (_, _, lang) in zip(sorted(got, key=lambda x: (x["doc_id"] is None, x["doc_id"])), sorted(rows, key=lambda r: (r[0] is None, r[0])), strict=True)) > 0.9 * len(rows)
+    nobody = language.identify(docs.where("false"))
+    assert nobody.count() == 0
+    assert {x["lang_pred"] for x in language.identify(docs.where("doc_id < 50").withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_pipeline_with_hard_rows(spark, tmp_path):
+    """Empty tables, nulls, empty and very long texts, repeated rows and extra columns go through every stage."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(8)
+    text = lambda n: " ".join("".join(r.choice(list("abcdefghij"), 5)) for _ in range(n))
+    spark.createDataFrame([(None, None), (1, text(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one, long = text(60), text(60_000)
+    rows = [(1, one, "en", "s", 5, 9, "k"), (1, one, "en", "s", 5, 9, "k"), (None, text(50), "en", None, None, 9, "k"), (2, None, None, None, None, 9, "k"), (3, "", "en", "s", 0, 9, "k"), (4, long, "en", "s", len(long), 9, "k"), (5, "x" * 400_000, None, "s", 1, 9, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long, key string")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert stage.__doc__ and "ull" in stage.__doc__ and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    packed = collections.Counter(x["doc_id"] for x in docs.collect() if x["piece"] == 0)
+    assert packed == {1: 1, None: 1, 4: 1, 5: 1}
