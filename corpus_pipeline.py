@@ -18,13 +18,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; null texts and texts without letters go."""
+    """Documents in which a language is recognised; null and empty texts and those without letters go.
+
+    A null doc_id or lang is no reason to go; repeated rows share their fate; extra columns are dropped.
+    """
     docs = docs.select(*COLUMNS)
     return language.with_language(docs).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest doc_id, null last."""
+    """One row of each group of near duplicates: the one with the smallest doc_id, null last.
+
+    Rows are told apart by a key of their own, so repeated rows and null ids count like any other copies; null and empty
+    texts belong to no group and stay.
+    """
     docs = _keyed(docs)
     groups = near_duplicates.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
     groups = written(groups, "groups")
@@ -36,19 +43,25 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share no passage with a benchmark item."""
+    """Rows that share no passage with a benchmark item, by a key of each row, so null and repeated ids escape nothing.
+
+    Null and empty texts, and null benchmark items, share nothing.
+    """
     docs = _keyed(docs)
     hit = decontamination.contaminated(docs.select(F.col("key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("key")).distinct()
     return docs.join(hit, "key", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret found replaced by a mask; n_chars follows the text."""
+    """All documents, with every secret found replaced by a mask; n_chars follows a text that changed.
+
+    Null texts stay null; repeated rows and null ids are masked like any other.
+    """
     return secrets.without_secrets(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their sequence and offset."""
+    """The documents' pieces with their sequence and offset; null and empty texts are one token, repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path())
 
 
