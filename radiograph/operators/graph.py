@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import clean_id
-from ..plans.lineage import cut
-from ..schema import DYNAMIC, ORM_CALL, STATIC_SQL, STRUCTURAL
+from ..functions.names import bare_name, clean_id
+from ..plans.lineage import cut, small
+from ..schema import DYNAMIC, ORM_CALL, STATIC_SQL, STRUCTURAL, UNRESOLVED_ID, UNRESOLVED_NAME
 
 
 def propagation(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,8 @@ def blast_radius(prop: DataFrame, roots: DataFrame, max_depth: int = 2, least_c4
     The confidence of a path is the product of its edges', rounded to ten-thousandths at each hop; of all paths to a
     node the most confident counts, then the shortest, then the first found. Layers are joined one after the other and
     a node goes on only where it beats what earlier layers found; each layer is checkpointed. No path meets a node twice.
+    Each layer reads only the edges of its own nodes: as these are grouping keys of propagation(), Spark filters the edges
+    by them before it collapses parallel ones.
     """
     kind = "array<string>"
     layer = roots.select("root", F.col("root").alias("node"), F.lit(10000).cast("long").alias("c4"), F.array("root").alias("path"), F.array().cast("array<long>").alias("seqs"), F.array().cast(kind).alias("types"))
@@ -37,7 +39,8 @@ def blast_radius(prop: DataFrame, roots: DataFrame, max_depth: int = 2, least_c4
     step = prop.withColumnRenamed("c4", "w4").withColumnRenamed("type", "step")
     for depth in range(1, max_depth + 1):
         c4 = F.expr("(c4 * w4 + 5000) div 10000")
-        reached = layer.join(step, F.col("node") == F.col("u")).where(~F.array_contains("path", F.col("v")))
+        ahead = small(cut(layer.select(F.col("node").alias("u")).distinct()))
+        reached = layer.join(step.join(ahead, "u", "left_semi"), F.col("node") == F.col("u")).where(~F.array_contains("path", F.col("v")))
         reached = reached.select("root", F.col("v").alias("node"), c4.cast("long").alias("c4"), F.concat("path", F.array("v")).alias("path"), F.concat("seqs", F.array("seq")).alias("seqs"), F.concat("types", F.array("step")).alias("types"))
         reached = reached.where(F.col("c4") >= least_c4)
         # The first in order of (-c4, seqs): a minimum, so that it is combined before the shuffle.
@@ -56,18 +59,24 @@ def blast_radius(prop: DataFrame, roots: DataFrame, max_depth: int = 2, least_c4
 
 
 def resolve_targets(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(target, id): the node that each wanted(target) means: its id, `table:` and the name, a name or clean id, or the end of a clean id."""
-    t = F.lower("target")
-    ways = [
-        (1, F.col("id"), F.col("target")), (2, F.col("id"), F.concat(F.lit("table:"), t)), (3, F.lower("name"), t), (3, clean_id(F.col("id")), t),
-        (4, F.regexp_extract(clean_id(F.col("id")), r"\.(.+)$", 1), t),
-    ]
-    hits = None
-    for rank, key, value in ways:
-        own = nodes.select("id", "seq", key.alias("k")).where("k <> ''").join(wanted.select("target", value.alias("k")), "k").select("target", "id", F.lit(rank).alias("way"), "seq")
-        hits = own if hits is None else hits.unionByName(own)
-    best = hits.groupBy("target").agg(F.min(F.struct("way", "seq", "id")).alias("b")).select("target", "b.id")
-    return wanted.select("target").distinct().join(best, "target", "left")
+    """(target, id): the node that each wanted(target) means, in this order of ways, the first node by seq within a way.
+
+    Its id; `table:` and the lower-case name; a name, id or id without `table:` in any case; what follows any dot of
+    such an id. Each node enters all its keys in one pass, each target two.
+    """
+    clean = clean_id(F.col("id"))
+    key = lambda exact, way, value: F.struct(F.lit(exact).alias("exact"), F.lit(way).alias("way"), value.alias("k"))
+    dotted = F.split(clean, r"\.")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(dotted), F.lit(2))), lambda i: key(False, 4, F.array_join(F.slice(dotted, i, F.size(dotted)), ".")))
+    keys = F.array(
+        key(True, 1, F.col("id")), key(False, 2, F.when(F.col("id").startswith("table:"), F.substring("id", 7, 1 << 30))),
+        key(False, 3, F.lower("name")), key(False, 3, F.lower("id")), key(False, 3, clean),
+    )
+    entered = nodes.select("id", "seq", F.explode(F.concat(keys, F.when(F.size(dotted) > 1, ends).otherwise(F.array().cast("array<struct<exact:boolean,way:int,k:string>>")))).alias("e")).select("id", "seq", "e.*").where("k <> ''")
+    asked = wanted.select("target").distinct()
+    pairs = asked.select("target", F.explode(F.array(F.struct(F.lit(True).alias("exact"), F.col("target").alias("k")), F.struct(F.lit(False).alias("exact"), F.lower("target").alias("k")))).alias("e")).select("target", "e.*")
+    best = entered.join(pairs, ["exact", "k"]).groupBy("target").agg(F.min(F.struct("way", "seq", "id")).alias("b")).select("target", "b.id")
+    return asked.join(best, "target", "left")
 
 
 def metrics(edges: DataFrame) -> DataFrame:
@@ -112,6 +121,36 @@ def reconciled(code_edges: DataFrame, tables: DataFrame) -> DataFrame:
     return code_edges.withColumn("key", clean_id(F.col("target"))).join(lookup, "key", "left").withColumn("target", F.coalesce("resolved", "target")).drop("key", "resolved")
 
 
-def last_wins(rows: DataFrame, key: Column) -> DataFrame:
-    """Of rows with a key, the one with the largest seq."""
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))).where("_rank = 1").drop("_rank")
+def assembled_graph(database_nodes: DataFrame, database_edges: DataFrame, code_nodes: DataFrame, code_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of both layers; nodes(seq, id, type, name, source_system), edges(seq, source, target, type, c4).
+
+    Code edges find the tables they name; a table that is unknown then becomes a node inferred from code, and the
+    unresolved sink is added where an edge asks for it. Of nodes with one id the code's counts.
+    """
+    tables = database_nodes.where(F.col("type").isin("table", "view", "partition"))
+    found = reconciled(code_edges, tables).select(*code_edges.columns)
+    columns = ["seq", "id", "type", "name", "source_system"]
+    layers = database_nodes.select(*columns, F.lit(0).alias("layer")).unionByName(code_nodes.select(*columns, F.lit(1).alias("layer")))
+    known = layers.groupBy("id").agg(F.max_by(F.struct("type", "name", "source_system"), F.struct("layer", "seq")).alias("b"), F.min("seq").alias("seq")).select("seq", "id", "b.*")
+    asked = found.where(F.col("target").startswith("table:")).groupBy(F.col("target").alias("id")).agg(F.min("seq").alias("seq"))
+    unknown = asked.join(known.select("id"), "id", "left_anti")
+    sink = F.col("id") == UNRESOLVED_ID
+    name = F.when(sink, UNRESOLVED_NAME).otherwise(bare_name(F.col("id")))
+    inferred = unknown.select("seq", "id", F.lit("table").alias("type"), name.alias("name"), F.when(sink, "unresolved").otherwise("code_inferred").alias("source_system"))
+    edges = database_edges.unionByName(found.select(*database_edges.columns))
+    return known.unionByName(inferred), edges
+
+
+def endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with the types and names of both ends; an end that is no node is `unknown` and bears its id."""
+    own = nodes.select(F.col("id").alias("_id"), F.col("type").alias("_type"), F.col("name").alias("_name"))
+    out = edges
+    for end in ("source", "target"):
+        out = out.join(own, F.col(end) == F.col("_id"), "left")
+        out = out.withColumn(f"{end}_type", F.coalesce("_type", F.lit("unknown"))).withColumn(f"{end}_name", F.coalesce("_name", end)).drop("_id", "_type", "_name")
+    return out
+
+
+def distinct_blind_spots(spots: DataFrame) -> DataFrame:
+    """Blind spots of several results, spots(root, seq, kind, severity, message): each message once, as it first came."""
+    return spots.groupBy("message").agg(F.min(F.struct("seq", "root", "kind", "severity")).alias("b"), F.count("*").alias("n")).select("message", "b.root", "b.kind", "b.severity", "n")

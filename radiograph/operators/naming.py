@@ -9,11 +9,12 @@ from ..functions.names import candidate_tables, singularize
 from ..schema import BASE_C4, INFERRED_NAMING
 
 
-def infer(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """(source, target, c4, match_type): edges guessed from columns(full_name, column) over tables(full_name, schema, name, seq).
+def infer(tables: DataFrame, columns: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """(source, target, c4, match_type, evidence): edges guessed from columns(full_name, column) over tables(full_name, schema, name, seq).
 
     A table is found under its name, and under what follows the first underscore unless an earlier table has that key.
-    Targets of the source's schema are preferred; a table's own key is no edge; per pair the best guess stays.
+    Targets of the source's schema are preferred; a table's own key is no edge; pairs of declared(source, target) are
+    left out; per pair the best guess stays, and the evidence names the first column that led to it.
     """
     bare = tables.select("full_name", "schema", F.lower("name").alias("bare"), "seq")
     named = bare.select(F.col("bare").alias("key"), F.col("full_name").alias("target"), F.col("schema").alias("target_schema"), "seq", F.lit(0).alias("suffix"))
@@ -29,8 +30,14 @@ def infer(tables: DataFrame, columns: DataFrame) -> DataFrame:
     hits = asked.join(lookup, F.col("c.name") == F.col("key")).withColumn("same", (F.col("schema") == F.col("target_schema")).cast("int"))
     hits = hits.withColumn("any_same", F.max("same").over(Window.partitionBy("source", "stem", "key"))).where("same = any_same")
     own_key = (F.col("source") == F.col("target")) & ((F.col("stem") == F.col("bare")) | (F.col("stem") == singularize(F.col("bare"))))
-    pairs = hits.where(~own_key).groupBy("source", "target").agg(F.max("c.m10").alias("m10"))
-    return pairs.select("source", "target", F.expr(f"({BASE_C4[INFERRED_NAMING]} * m10) div 10").cast("long").alias("c4"), F.when(F.col("m10") == 10, "exact").otherwise("fuzzy").alias("match_type"))
+    guesses = hits.where(~own_key)
+    if declared is not None:
+        guesses = guesses.join(declared.select("source", "target").distinct(), ["source", "target"], "left_anti")
+    best = F.min(F.struct((-F.col("c.m10")).alias("m"), "stem")).alias("b")
+    pairs = guesses.groupBy("source", "target").agg(best).select("source", "target", (-F.col("b.m")).alias("m10"), F.col("b.stem").alias("stem"))
+    match = F.when(F.col("m10") == 10, "exact").otherwise("fuzzy")
+    told = F.concat(F.lit("Naming inference ("), match, F.lit("): "), "source", F.lit("."), "stem", F.lit("_id -> "), "target")
+    return pairs.select("source", "target", F.expr(f"({BASE_C4[INFERRED_NAMING]} * m10) div 10").cast("long").alias("c4"), match.alias("match_type"), told.alias("evidence"))
 
 
 def merge(declared: DataFrame, inferred: DataFrame, deduplicate: bool = False) -> DataFrame:

@@ -74,3 +74,20 @@ def enclosing(lines: DataFrame, starts: Column) -> DataFrame:
     """lines(path, n, line) with block: the number of the last line up to it at which a block starts, else null."""
     before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("block", F.last(F.when(starts, F.col("n")), ignorenulls=True).over(before))
+
+
+def touching(tables: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, source, type): the edges that point at a table of tables(id, name), by its id, by its bare name or as one of `public`.
+
+    Three equality joins instead of one with alternatives.
+    """
+    keys = [F.col("id"), F.concat(F.lit("table:"), F.lower("name")), F.concat(F.lit("table:public."), F.lower("name"))]
+    asked = tables.select("id", F.explode(F.array_distinct(F.array(*keys))).alias("target"))
+    return edges.select("source", "target", "type").join(asked, "target").select("id", "source", "type").distinct()
+
+
+def most_common(rows: DataFrame, most: int) -> DataFrame:
+    """(group, value, n, place) of rows(group, value, seq): each group's most common values, the first seen on a tie."""
+    counts = rows.groupBy("group", "value").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("n"), "seq", "value"))
+    return counts.withColumn("place", place.cast("long")).where(F.col("place") <= most).select("group", "value", "n", "place")

@@ -36,3 +36,43 @@ def by_type(rows: DataFrame, gate: float = 0.7) -> DataFrame:
     lower, upper = wilson(F.col("tp"), F.col("n"))
     precision = F.coalesce(F.round(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), 4), F.lit(0.0))
     return sums.select("kind", "n", "tp", "fp", "unknown", precision.alias("precision"), F.round(F.col("tp") / F.col("n"), 4).alias("recall"), lower.alias("lower"), upper.alias("upper"), (lower >= gate).alias("passed"))
+
+
+def bucket_label(bucket: Column, buckets: int = 10) -> Column:
+    """`[0.1, 0.2)`; the last bucket is closed."""
+    return F.concat(F.format_string("[%.1f, %.1f", bucket / F.lit(float(buckets)), (bucket + 1) / F.lit(float(buckets))), F.when(bucket == buckets - 1, "]").otherwise(")"))
+
+
+def calibration_report(rows: DataFrame, tolerance: float = 0.15, least: int = 10) -> DataFrame:
+    """One row: samples, Brier score, buckets with enough samples, and whether all of these are within the tolerance (true for none)."""
+    curve = calibration_curve(rows, 10, tolerance, least)
+    gates = curve.agg(F.sum("n").cast("long").alias("samples"), F.sum((~F.col("too_few")).cast("long")).alias("adequate"), F.coalesce(F.every(F.when(~F.col("too_few"), F.col("within"))), F.lit(True)).alias("passed"))
+    return gates.crossJoin(brier(rows))
+
+
+def thresholds_met(rows: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """Per kind with a threshold of rows(kind, actual BOOLEAN): precision, lower bound, and whether precision reaches the threshold."""
+    wanted = rows.sparkSession.createDataFrame(sorted(thresholds.items()), "kind string, least double")
+    found = by_type(rows).select("kind", "n", "precision", "lower")
+    return F.broadcast(wanted).join(found, "kind", "left").select("kind", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("precision", F.lit(0.0)).alias("precision"), F.coalesce("lower", F.lit(0.0)).alias("lower"), (F.coalesce("precision", F.lit(0.0)) >= F.col("least")).alias("passed"))
+
+
+def verdict(scores: DataFrame, spots: DataFrame) -> DataFrame:
+    """One row of gates over scores(root, tp, fn, fp, ...) of relations.evaluated() and spots(root, n), the blind spots told for each root.
+
+    Recall from 0.90, precision and agreement from 0.85, no false negative, and blind spots told for every root.
+    """
+    every, each = scores.where("root = 'all'"), scores.where("root <> 'all'").select("root")
+    untold = each.join(spots.where("n > 0").select("root"), "root", "left_anti").agg(F.count("*").alias("untold"))
+    agreement = F.coalesce(F.round(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)), 4), F.lit(1.0))
+    gates = every.crossJoin(untold).select(
+        "tp", "fn", "fp", "recall", "precision", agreement.alias("agreement"), (F.col("recall") >= 0.9).alias("recall_gate"), (F.col("precision") >= 0.85).alias("precision_gate"),
+        (agreement >= 0.85).alias("agreement_gate"), (F.col("fn") == 0).alias("no_miss_gate"), (F.col("untold") == 0).alias("told_gate"),
+    )
+    passed = F.col("recall_gate") & F.col("precision_gate") & F.col("agreement_gate") & F.col("no_miss_gate") & F.col("told_gate")
+    return gates.withColumn("verdict", F.when(passed, "PASSED_VALIDATION").otherwise("FAILED_KILL_CHECK"))
+
+
+def clustering_gates(ari: DataFrame, modularity: DataFrame, least_ari: float = 0.6, least_q: float = 0.3) -> DataFrame:
+    """One row: ari, q, and whether each reaches its gate."""
+    return ari.crossJoin(modularity).select("ari", "q", (F.col("ari") >= least_ari).alias("ari_gate"), (F.col("q") >= least_q).alias("q_gate"))

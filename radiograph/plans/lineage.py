@@ -1,15 +1,27 @@
-"""Cutting lineage in iterative plans."""
+"""Cutting lineage in iterative plans, and broadcasts of checked size."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table up to which it is sent to all executors; beyond it Spark shuffles both sides.
+BROADCAST_ROWS = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that driver and executors share (spark.checkpoint.dir; one of our own where unset)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (checkpointed, as it is counted), marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df

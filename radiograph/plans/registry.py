@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import changes, clusters, graph, naming, relations, statistics
+from ..operators import changes, clusters, extraction, graph, naming, relations, schemas, statistics
+from ..sources.code import code_files, schema_files
 from ..sources.tables import GRAPH_SQL, KIND, catalog, edges, nodes, table
 from . import sql
 
@@ -58,7 +59,7 @@ def _prefix_pairs(s: SparkSession, d: str) -> DataFrame:
 
 def _words(s: SparkSession, d: str) -> DataFrame:
     text = table(s, d, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
-    return text.where("length(w) between 2 and 40").distinct()
+    return text.where("w <> ''").distinct()
 
 
 def _stems(s: SparkSession, d: str) -> DataFrame:
@@ -75,12 +76,15 @@ def _predictions(s: SparkSession, d: str) -> DataFrame:
 
 
 def _declared(s: SparkSession, d: str) -> DataFrame:
-    e = naming.infer(*catalog(s, d)).where("length(source) % 2 = 0").select("source", "target", F.lit("declared_fk").alias("type"), F.lit(10000).cast("long").alias("c4"))
-    return e
+    """The tables of parts that follow each other in an order, as they really are: inference has to guess the second from its name."""
+    part = table(s, d, "part").select("p_partkey", F.concat_ws(".", F.lower("p_type"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("_"))).alias("full_name"))
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    here, there = lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("full_name").alias("source")), lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("full_name").alias("target"))
+    return here.join(there, ["l_orderkey", "n"]).select("source", "target", F.lit("declared_fk").alias("type"), F.lit(10000).cast("long").alias("c4")).distinct()
 
 
 def _inferred(s: SparkSession, d: str) -> DataFrame:
-    return naming.infer(*catalog(s, d)).where("length(target) % 3 > 0").select("source", "target", F.lit("inferred_naming").alias("type"), "c4")
+    return naming.infer(*catalog(s, d)).select("source", "target", F.lit("inferred_naming").alias("type"), "c4")
 
 
 def _sql_references(s: SparkSession, d: str) -> DataFrame:
@@ -89,30 +93,121 @@ def _sql_references(s: SparkSession, d: str) -> DataFrame:
 
 
 def _line_kinds(s: SparkSession, d: str) -> DataFrame:
-    code = [F.lit('cursor.execute("SELECT * FROM '), F.lit("cursor.execute(query_"), F.lit("session.query(")]
-    lines = table(s, d, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("n", "line"))
-    lines = lines.select("page_id", "n", F.when(F.col("n") % 3 == 0, F.concat(code[0], "line")).when(F.col("n") % 3 == 1, F.concat(code[1], F.col("n").cast("string"), F.lit(")"))).otherwise(F.concat(code[2], "line")).alias("line"))
-    return lines.groupBy("page_id", names.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+    lines = code_files(s, d, "python").select("path", F.explode(F.split("content", "\n")).alias("line"))
+    return lines.groupBy("path", names.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _extracted(language: str) -> Query:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        files = code_files(s, d, language)
+        found = extraction.literal_references(files) if language == "rust" else extraction.references(files, language)
+        return found.groupBy("source", "target", "type", "c4").agg(F.count("*").alias("n"))
+
+    return query
+
+
+def _function_bounds(s: SparkSession, d: str) -> DataFrame:
+    held = extraction.functions(code_files(s, d, "javascript"), extraction.LANGUAGES["javascript"])
+    return held.select("path", "name", F.col("start").cast("long").alias("start_line"), F.col("end").cast("long").alias("end_line"))
 
 
 def _paths(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     whole = table(s, d, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
-    changed = table(s, d, "pages").where("page_id % 5 = 0").select(F.regexp_replace("url", "^[a-z]+://[^/]+", ".").alias("path"))
+    changed = table(s, d, "pages").select(F.regexp_replace("url", "^[a-z]+://[^/]+", ".").alias("path"))
     return whole, changed
 
 
 def _mentions(s: SparkSession, d: str) -> DataFrame:
+    """Every word of the benchmark, and the first two words of each item, in what is said in conversations."""
     texts = table(s, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
-    words = table(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("name")).where("length(name) >= 8")
-    return changes.mentions(texts, words)
+    bench = table(s, d, "benchmark").select(F.lower("text").alias("text"))
+    words = bench.select(F.explode(F.split("text", "[^a-z0-9]+")).alias("name")).where("name <> ''")
+    return changes.mentions(texts, words.union(bench.select(F.regexp_extract("text", "^[a-z0-9]+ [a-z0-9]+", 0)).where("length(text) > 0").toDF("name").where("name <> ''")))
 
 
-def _affected(s: SparkSession, d: str) -> DataFrame:
-    """Orders are functions whose file is a page's path; what changes is every fifth page."""
-    _, changed = _paths(s, d)
+def _changed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changed, nodes, texts): the pages' paths and scripts have changed; orders and suppliers stand in the page of their number."""
     pages = table(s, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]+", ".").alias("file"))
-    functions = table(s, d, "orders").join(pages, F.col("o_orderkey") == F.col("page_id")).select(F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("id"), "file")
-    return changes.affected_tables(changed, functions, edges(s, d), nodes(s, d).where("type = 'table'"))
+    scripts = table(s, d, "part").select(F.concat(F.lit("db/001_create_"), "p_name", F.lit(".sql")).alias("path"))
+    texts = table(s, d, "nation").select(F.concat(F.lit("db/n"), F.col("n_nationkey").cast("string"), F.lit(".sql")).alias("path"), F.concat(F.lit("alter table "), "n_name", F.lit("_x")).alias("content"))
+    placed = pages.select(F.explode(F.array(*[F.concat(F.lit(f"{kind}:"), F.col("page_id").cast("string")) for kind in ("orders", "supplier")])).alias("id"), "file")
+    held = nodes(s, d).join(placed.groupBy("id").agg(F.min("file").alias("file")), "id", "left")
+    return pages.select(F.col("file").alias("path")).union(scripts).union(texts.select("path")).distinct(), held, texts
+
+
+def _affected(s: SparkSession, d: str) -> DataFrame:
+    changed, held, texts = _changed(s, d)
+    return changes.affected_tables(changed, held, edges(s, d), texts)
+
+
+def _change_impact(which: int) -> Query:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        changed, held, texts = _changed(s, d)
+        return changes.change_impact(changed, held, edges(s, d), texts, 1)[which]
+
+    return query
+
+
+def _declared_in(kind: str, which: int) -> Query:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        return {"ddl": schemas.ddl, "prisma": schemas.prisma, "rails": schemas.rails}[kind](schema_files(s, d, kind))[which]
+
+    return query
+
+
+def _module_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): a table for each part type and kind of thing; lines that follow each other are keys, orders touch their lines' tables."""
+    part = table(s, d, "part").select("p_partkey", F.concat(F.lit("table:shop."), F.lower("p_type"), F.lit("_"), F.split("p_name", " ")[1]).alias("id"))
+    lines = table(s, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "id")
+    code = lines.select(F.concat(F.lit("func:o"), F.col("l_orderkey").cast("string")).alias("source"), F.col("id").alias("target"), F.lit(9600).cast("long").alias("c4")).distinct()
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("id").alias("target"))
+    keys = lines.withColumnRenamed("id", "source").join(after, ["l_orderkey", "l_linenumber"]).select("source", "target", F.lit(10000).cast("long").alias("c4")).distinct()
+    return part.select("id", F.lit("table").alias("type")).distinct(), keys.union(code)
+
+
+def _related(s: SparkSession, d: str) -> DataFrame:
+    held, links = _module_graph(s, d)
+    return clusters.relatedness(clusters.clustered_tables(held), links)
+
+
+def _module_labels(s: SparkSession, d: str) -> DataFrame:
+    part = table(s, d, "part").select(F.lower("p_type").alias("community"), F.concat(F.lower("p_type"), F.lit("_"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("_"))).alias("name")).distinct()
+    return clusters.cluster_labels(part.withColumn("hub", F.col("name")))
+
+
+def _assembled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The row-level graph, and the references of the derived source files as its code."""
+    found = extraction.references(code_files(s, d, "python"), "python").withColumn("seq", F.col("line"))
+    functions = found.where("type = 'structural_belongs_to'").select("seq", F.col("source").alias("id"), F.lit("function").alias("type"), F.element_at(F.split("source", ":"), -1).alias("name"), F.lit("python").alias("source_system")).distinct()
+    brands = table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("table:shop."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))).alias("id"), F.lit("table").alias("type"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("name"), F.lit("postgres").alias("source_system"))
+    brands = brands.groupBy("id", "type", "name", "source_system").agg(F.min("seq").alias("seq")).select("seq", "id", "type", "name", "source_system")
+    return graph.assembled_graph(brands, edges(s, d).where("type = 'structural_belongs_to'"), functions, found)
+
+
+def _assembled_edges(s: SparkSession, d: str) -> DataFrame:
+    held, links = _assembled(s, d)
+    return graph.endpoints(links.where("type <> 'structural_belongs_to'"), held).groupBy("type", "source_type", "target_type", "target_name").agg(F.count("*").alias("n"))
+
+
+def _spots(s: SparkSession, d: str) -> DataFrame:
+    calls = table(s, d, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    message = F.concat(F.col("n").cast("string"), F.lit(" calls cannot be resolved"))
+    return graph.distinct_blind_spots(calls.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("root"), F.col("o_custkey").alias("seq"), F.lit("dynamic_unresolved_sql").alias("kind"), F.when(F.col("n") > 5, "high").otherwise("medium").alias("severity"), message.alias("message")))
+
+
+def _common_words(s: SparkSession, d: str) -> DataFrame:
+    words = table(s, d, "documents").where("lang is not null").select(F.col("lang").alias("group"), "doc_id", F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("place", "value")).where("value <> ''")
+    return relations.most_common(words.select("group", "value", (F.col("doc_id") * 10_000_000 + F.col("place")).alias("seq")), 5)
+
+
+def _touching(s: SparkSession, d: str) -> DataFrame:
+    tables = table(s, d, "part").select(F.concat(F.lit("table:shop."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))).alias("id"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("name")).distinct()
+    return relations.touching(tables, extraction.references(code_files(s, d, "python"), "python")).groupBy("id", "type").agg(F.count("*").alias("n"))
+
+
+def _verdict(s: SparkSession, d: str) -> DataFrame:
+    spots = _nation_roots(s, d).withColumn("n", F.lit(1))
+    return statistics.verdict(_evaluation(s, d), spots)
 
 
 def _reconciled(s: SparkSession, d: str) -> DataFrame:
@@ -124,7 +219,9 @@ def _reconciled(s: SparkSession, d: str) -> DataFrame:
 def _targets(s: SparkSession, d: str) -> DataFrame:
     wanted = table(s, d, "supplier").select(F.lower("s_name").alias("target")).union(table(s, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))))
     wanted = wanted.union(table(s, d, "nation").select("n_name")).union(table(s, d, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("x")))).union(s.range(1).select(F.lit("unresolved")))
-    return graph.resolve_targets(nodes(s, d), wanted)
+    qualified = table(s, d, "part").select((F.lit(9 * KIND) + F.col("p_partkey")).alias("seq"), F.concat(F.lit("table:"), F.lower("p_type"), F.lit("."), F.lower("p_brand"), F.lit("."), F.lower("p_name"), F.lit("s")).alias("id"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("name"))
+    wanted = wanted.union(table(s, d, "part").select(F.explode(F.array(F.concat("p_name", F.lit("s")), F.upper(F.concat("p_brand", F.lit("."), "p_name", F.lit("s"))), F.concat("p_type", F.lit("."), "p_brand", F.lit("."), "p_name", F.lit("s"))))))
+    return graph.resolve_targets(nodes(s, d).select("seq", "id", "name").unionByName(qualified), wanted)
 
 
 def _tiers(s: SparkSession, d: str) -> DataFrame:
@@ -192,9 +289,29 @@ def queries() -> dict[str, Query]:
         "merge_stats": lambda s, d: naming.merge_stats(_declared(s, d), _inferred(s, d)),
         "sql_table_refs": _sql_references,
         "line_classifier": _line_kinds,
+        "function_bounds": _function_bounds,
+        **{f"extract_{language}": _extracted(language) for language in ("python", "javascript", "go", "java", "ruby", "php")},
+        "extract_literals": _extracted("rust"),
         "path_suffix_match": lambda s, d: changes.suffix_matches(*_paths(s, d)),
         "sql_file_mentions": _mentions,
         "affected_tables": _affected,
+        "change_impact": _change_impact(0),
+        "change_impact_total": _change_impact(1),
+        "infer_undeclared": lambda s, d: naming.infer(*catalog(s, d), _declared(s, d)),
+        **{f"{kind}_{what}": _declared_in(kind, i) for kind in ("ddl", "prisma", "rails") for i, what in enumerate(("columns", "keys"))},
+        "assembled_graph": lambda s, d: _assembled(s, d)[0].select("id", "type", "name", "source_system"),
+        "assembled_edges": _assembled_edges,
+        "blind_spots_once": _spots,
+        "most_common_words": _common_words,
+        "touching_edges": _touching,
+        "table_relatedness": _related,
+        "cluster_labels": _module_labels,
+        "cluster_catalog": lambda s, d: clusters.cluster_catalog(*_module_graph(s, d))[0],
+        "clustering_gates": lambda s, d: statistics.clustering_gates(queries()["adjusted_rand_index"](s, d), queries()["modularity_q"](s, d)),
+        "calibration_report": lambda s, d: statistics.calibration_report(_predictions(s, d)),
+        "bucket_labels": lambda s, d: statistics.calibration_curve(_predictions(s, d)).select("bucket", statistics.bucket_label(F.col("bucket")).alias("label"), "n"),
+        "type_thresholds": lambda s, d: statistics.thresholds_met(_predictions(s, d).select(F.col("lang").alias("kind"), (F.col("actual") == 1).alias("actual")), {"en": 0.7, "de": 0.8, "xx": 0.8}),
+        "benchmark_verdict": _verdict,
         "cooccurrence_projection": _pairs,
         "prefix_pairs": _prefix_pairs,
         "weighted_degree_hub": lambda s, d: clusters.degrees(_pairs(s, d)),
@@ -206,7 +323,7 @@ def queries() -> dict[str, Query]:
         "dangling_edges": lambda s, d: relations.without_dangling(edges(s, d), nodes(s, d).where("type <> 'view'")).groupBy("type").agg(F.count("*").alias("n")),
         "one_hop_impact": lambda s, d: relations.one_hop(edges(s, d), _supplier_roots(s, d)),
         "neighbourhood": lambda s, d: relations.neighbourhood(edges(s, d), _nation_roots(s, d)),
-        "isolated_nodes": lambda s, d: relations.isolated(nodes(s, d).where("id like 'customer:%'"), edges(s, d).where("type = 'orm_call'")).select("id", "name"),
+        "isolated_nodes": lambda s, d: relations.isolated(nodes(s, d), edges(s, d).where("type in ('orm_call', 'dynamic_unresolved')")).select("id", "name"),
         "impact_ranking": _ranking,
         "benchmark_scores": _evaluation,
         "catalog_merge": _merged_catalog,
