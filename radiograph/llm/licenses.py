@@ -7,7 +7,8 @@ stands has both of its rare words, so no notice is lost, however many a file hol
 row, in DataFrame functions; only the document frequencies of the key phrases' few words are aggregated.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. Null and empty texts have no words and no
-labels. Rows are scanned one by one; extra columns are ignored; an empty table gives no rows.
+labels. Rows are scanned one by one, so repeated rows repeat their result and null ids keep theirs; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,16 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("reserved", "all rights reserved", "all rights reserved"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "agreed to in writing software"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "in the hope that it will be useful"),
+    ("agpl", "licensed under the gnu affero general public license", "affero general public license"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "including commercial applications"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to the public domain", "related and neighboring rights"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
 )
 #: Rare words of each key phrase that are looked up; two of them have to agree on a place.
 RARE_WORDS = 2

@@ -8,9 +8,10 @@ under that distance. A pair with a Jaccard similarity of 0.75 differs in more th
 at most 86 may differ (at 0.75 more do with a probability of 7e-11), and in a parity bitmap, whose bound is exact; they
 are compared where two signatures meet, before the links are confirmed on the full shingle sets.
 
-Copies of a text are one class. Within an entry each member is first tried with its nearest hubs only; members that end in
-different components afterwards are tried against each other, so that no link between different texts is lost while a
-group of near copies is never paired out. An entry with many such members is dealt over several tasks.
+Copies of a text are one class. Within an entry each member is first tried with its nearest hubs only, and in some more
+turns with other hubs, as long as these link anything; members that end in different components afterwards are tried
+against each other, so that no link between different texts is lost while a group of near copies is never paired out. An
+entry with many such members is dealt over several tasks.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing. A row without doc_id links with
 nothing, keeps a null component_id and counts as kept. Rows that repeat a doc_id count as one document: they share a
@@ -38,6 +39,8 @@ PARITY = 16
 MOST_DIFFERENT = 86
 #: Hubs with which each member is tried first: the nearest of at most one for each of its entries.
 HUBS = 3
+#: Turns in which members that are still apart are tried with another hub of their entries, drawn by hash.
+TURNS = 3
 #: Members of an entry that one task tries against the rest of it.
 SPREAD = 256
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 2**32, SYMBOLS + NIBBLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -171,6 +174,22 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return both.where((n > 0) & (4 * n >= 3 * m) & (4 * m >= 3 * n)).where(100 * same >= 75 * (n + m - same)).select("a", "b")
 
 
+def _tried(stars: DataFrame, signs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The links (a, b) of stars(doc_id, hub): each document with the nearest HUBS of its hubs."""
+    stars = written(stars, "stars")
+    ids = bounded(written(stars.select(F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct(), "ids"))
+    signs = signs.join(ids, "doc_id", "left_semi")
+    x, y = signs.alias("x"), signs.alias("y")
+    tried = stars.join(x, F.col("x.doc_id") == stars["doc_id"]).join(y, F.col("y.doc_id") == stars["hub"])
+    tried = tried.where(_near("x", "y")).select(stars["doc_id"].alias("b"), stars["hub"].alias("a"), F.expr(_unequal("x", "y")).alias("d"))
+    nearest = F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, HUBS)  # of at most one for each entry
+    return confirmed(tried.groupBy("b").agg(nearest.alias("hubs")).select(F.explode("hubs.a").alias("a"), "b"), documents)
+
+
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    return shared.join(labels, shared["doc_id"] == labels["node"], "left").select("entry", "doc_id", F.coalesce("root", "doc_id").alias("label"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per row of documents(doc_id, text): doc_id, n_shingles, component_id, kept; see the module's text.
 
@@ -191,21 +210,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     hubs = made.groupBy("entry").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("entry", "hub")
     shared = written(made.join(written(hubs, "hubs"), "entry"), "shared")
 
-    stars = shared.where("doc_id <> hub").select("doc_id", "hub").distinct()
-    signs = signs.drop(*_SYMBOLS)
-    x, y = signs.alias("x"), signs.alias("y")
-    tried = stars.join(x, F.col("x.doc_id") == stars["doc_id"]).join(y, F.col("y.doc_id") == stars["hub"])
-    tried = tried.where(_near("x", "y")).select(stars["doc_id"].alias("b"), stars["hub"].alias("a"), F.expr(_unequal("x", "y")).alias("d"))
-    nearest = F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, HUBS)
-    first = tried.groupBy("b").agg(nearest.alias("hubs")).select(F.explode("hubs.a").alias("a"), "b")
-    links = confirmed(first, documents)
+    slim = signs.drop(*_SYMBOLS)
+    links = _tried(shared.where("doc_id <> hub").select("doc_id", "hub").distinct(), slim, documents)
     labels = written(connected_components(links), "labels")
+    for turn in range(TURNS):
+        labelled = written(_labelled(shared, labels), "labelled")
+        hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "label")).alias("hub")
+        open_entries = written(labelled.groupBy("entry").agg(F.min("label").alias("least"), F.max("label").alias("most"), hub).where("least < most").select("entry", F.col("hub.doc_id").alias("hub"), F.col("hub.label").alias("own")), "hubs")
+        new = _tried(labelled.join(open_entries, "entry").where("label <> own").select("doc_id", "hub").distinct(), slim, documents)
+        new = written(new, "links")
+        if new.isEmpty():
+            break
+        labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)), "labels")
+    labelled = written(_labelled(shared, labels), "labelled")
 
-    labelled = written(shared.join(labels, shared["doc_id"] == labels["node"], "left").select("entry", "doc_id", F.coalesce("root", "doc_id").alias("label")), "labelled")
     sizes = labelled.groupBy("entry", "label").agg(F.count("*").alias("n"))
     mixed_entries = sizes.groupBy("entry").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("members"))
     mixed_entries = written(mixed_entries.where("labels > 1").select("entry", "most", F.expr("cast((members + {0} - 1) div {0} as int)".format(SPREAD)).alias("salts")), "mixed")
-    open_rows = labelled.join(mixed_entries, "entry").join(signs, "doc_id")
+    open_rows = labelled.join(mixed_entries, "entry").join(slim, "doc_id")
     solid = [F.coalesce(c, F.lit(0).cast("int" if c in ("salts", "salt") else "long")).alias(c) for c in ("entry", "doc_id", "label", "most", "n_shingles", *_LONGS, "salts")]
     open_rows = written(open_rows, "open").select(solid)
     left = open_rows.where("label <> most").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")

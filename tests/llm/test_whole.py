@@ -276,3 +276,19 @@ def test_pipeline_with_hard_rows(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     packed = collections.Counter(x["doc_id"] for x in docs.collect() if x["piece"] == 0)
     assert packed == {1: 1, None: 1, 4: 1, 5: 1}
+
+
+def test_license_base_by_brute_force(spark):
+    r = np.random.default_rng(13)
+    bits = ["cc", "by", "CC", "all", "rights", "RESERVED", "general", "Public", "license", "gnu", "é", "x1"]
+    texts = [(i, "".join(w + str(r.choice([" ", ", ", "-", "\n", ""], p=[0.6, 0.1, 0.1, 0.1, 0.1])) for w in r.choice(bits, int(r.integers(0, 25))))) for i in range(300)]
+    texts += [(None, "CC by"), (4, "cc-by"), (400, None), (401, "general public license " * 20_000), (402, "x" * 500_000)]
+    want = collections.Counter()
+    for i, text in texts:
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        found = [(k, label) for phrase, label in licenses.PHRASES for p in [phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p]
+        want[i, len(w), len(found), min(found)[0] if found else None, max(found)[0] if found else None, ",".join(sorted({label for _, label in found}))] += 1
+    rows = licenses.scan_licenses(documents(spark, texts)).collect()
+    assert collections.Counter((x["doc_id"], x["n_words"], x["n_base"], x["first_word"], x["last_word"], x["base_labels"]) for x in rows) == want
+    assert all(set(filter(None, x["base_labels"].split(","))) <= set(x["labels"].split(",")) and 0 <= x["score"] <= 1 for x in rows)
+    assert licenses.scan_licenses(documents(spark, [])).count() == 0
