@@ -6,15 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiograph.llm import decontamination, language, near_duplicates, packing, secrets
-from radiograph.llm.common import written
+from radiograph.llm.common import bounded, written
 from radiograph.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key for each row, written once: a null or repeated doc_id names no row."""
-    return written(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    """docs with a key for each row: a null or repeated doc_id names no row.
+
+    A row of a file is named by its file's number and its place there, which every scan gives alike, so that the
+    documents needn't be written again; rows that come from no file are written with a running number.
+    """
+    if not docs.inputFiles():
+        return written(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    files = sorted(r["file"] for r in docs.select(F.col("_metadata.file_path").alias("file")).distinct().collect())  # one row for each file
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "number long, file string")
+    placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    key = F.call_function("shiftleft", F.col("number"), F.lit(40)) + F.col("place")
+    return placed.join(F.broadcast(numbers), "file").select(*COLUMNS, key.alias("key"))
+
+
+def _without(docs: DataFrame, keys: DataFrame, tag: str) -> DataFrame:
+    """The rows of keyed docs whose key is not among keys."""
+    return docs.join(bounded(written(keys, tag)), "key", "left_anti").select(*COLUMNS)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +50,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = _keyed(docs)
     groups = near_duplicates.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
     groups = written(groups, "groups")
-    shared = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = written(groups.join(shared, "component_id", "left_semi").join(docs.select("key", "doc_id"), "key"), "members")
+    shared = bounded(written(groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "shared"))
+    members = bounded(written(groups.join(shared, "component_id"), "members"))
+    members = written(docs.select("key", "doc_id").join(members, "key"), "members")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
-    gone = members.select("key").join(first.select("key"), "key", "left_anti")
-    return docs.join(gone, "key", "left_anti").select(*COLUMNS)
+    return _without(docs, members.select("key").join(bounded(written(first.select("key"), "first")), "key", "left_anti"), "gone")
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +64,7 @@ def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     docs = _keyed(docs)
     hit = decontamination.contaminated(docs.select(F.col("key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("key")).distinct()
-    return docs.join(hit, "key", "left_anti").select(*COLUMNS)
+    return _without(docs, hit, "hit")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
