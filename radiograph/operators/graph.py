@@ -58,11 +58,12 @@ def blast_radius(prop: DataFrame, roots: DataFrame, max_depth: int = 2, least_c4
     return out.select("root", "node", (-F.col("b.m")).alias("c4"), "b.depth", "b.types", "b.path")
 
 
-def resolve_targets(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+def resolve_targets(nodes: DataFrame, wanted: DataFrame, single_pass: bool = False) -> DataFrame:
     """(target, id): the node that each wanted(target) means, in this order of ways, the first node by seq within a way.
 
     Its id; `table:` and the lower-case name; a name, id or id without `table:` in any case; what follows any dot of
-    such an id. Each node enters all its keys in one pass, each target two.
+    such an id. Each node enters all its keys in one pass, each target two. With `single_pass`, as in the second dialect,
+    the third way and the fourth are one: what follows a dot may come before a later node's name.
     """
     clean = clean_id(F.col("id"))
     key = lambda exact, way, value: F.struct(F.lit(exact).alias("exact"), F.lit(way).alias("way"), value.alias("k"))
@@ -75,12 +76,13 @@ def resolve_targets(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     entered = nodes.select("id", "seq", F.explode(F.concat(keys, F.when(F.size(dotted) > 1, ends).otherwise(F.array().cast("array<struct<exact:boolean,way:int,k:string>>")))).alias("e")).select("id", "seq", "e.*").where("k <> ''")
     asked = wanted.select("target").distinct()
     pairs = asked.select("target", F.explode(F.array(F.struct(F.lit(True).alias("exact"), F.col("target").alias("k")), F.struct(F.lit(False).alias("exact"), F.lower("target").alias("k")))).alias("e")).select("target", "e.*")
-    best = entered.join(pairs, ["exact", "k"]).groupBy("target").agg(F.min(F.struct("way", "seq", "id")).alias("b")).select("target", "b.id")
+    way = F.least("way", F.lit(3)).alias("way") if single_pass else F.col("way")
+    best = entered.join(pairs, ["exact", "k"]).groupBy("target").agg(F.min(F.struct(way, "seq", "id")).alias("b")).select("target", "b.id")
     return asked.join(best, "target", "left")
 
 
-def metrics(edges: DataFrame) -> DataFrame:
-    """Cross-layer metrics in one row."""
+def metrics(edges: DataFrame, places: int = 4) -> DataFrame:
+    """Cross-layer metrics in one row; the dynamic ratio is in ten-thousandths, rounded to so many places."""
     is_type = lambda t: F.col("type") == t
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     access = is_type(STATIC_SQL) | is_type(ORM_CALL)
@@ -89,7 +91,8 @@ def metrics(edges: DataFrame) -> DataFrame:
         F.count_distinct(F.when(access, F.col("target"))).alias("tables_touched"), F.count_distinct(F.when(access, F.col("source"))).alias("functions_accessing"),
     )
     calls = F.col("dynamic") + F.col("resolved")
-    ratio4 = F.coalesce(F.expr("(dynamic * 20000 + dynamic + resolved) div nullif(2 * (dynamic + resolved), 0)"), F.lit(0)).cast("long")
+    unit = 10**places
+    ratio4 = F.coalesce(F.expr(f"(dynamic * {2 * unit} + dynamic + resolved) div nullif(2 * (dynamic + resolved), 0) * {10000 // unit}"), F.lit(0)).cast("long")
     return one.select("total_edges", "dynamic", calls.alias("access_calls"), ratio4.alias("dynamic_ratio_c4"), (ratio4 > 4000).alias("warning"), "tables_touched", "functions_accessing")
 
 
@@ -141,6 +144,15 @@ def assembled_graph(database_nodes: DataFrame, database_edges: DataFrame, code_n
     return known.unionByName(inferred), edges
 
 
+def registered_graph(catalog: DataFrame, code: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seq, id, type, name, source_system) of the second dialect's graph: of nodes with one id the first counts, the catalog's before the code's; each table that an edge points at is registered."""
+    columns = ["seq", "id", "type", "name", "source_system"]
+    asked = edges.where(F.col("target").startswith("table:")).select("seq", F.col("target").alias("id"), F.lit("table").alias("type"), F.replace("target", F.lit("table:"), F.lit("")).alias("name"), F.lit("inferred_from_code").alias("source_system"))
+    layers = [rows.select(*columns, F.lit(i).alias("layer")) for i, rows in enumerate((catalog, code, asked))]
+    first = F.min(F.struct("layer", "seq", "type", "name", "source_system")).alias("b")
+    return layers[0].unionByName(layers[1]).unionByName(layers[2]).groupBy("id").agg(first).select("b.seq", "id", "b.type", "b.name", "b.source_system")
+
+
 def endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges with the types and names of both ends; an end that is no node is `unknown` and bears its id."""
     own = nodes.select(F.col("id").alias("_id"), F.col("type").alias("_type"), F.col("name").alias("_name"))

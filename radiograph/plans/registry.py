@@ -184,6 +184,14 @@ def _assembled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return graph.assembled_graph(brands, edges(s, d).where("type = 'structural_belongs_to'"), functions, found)
 
 
+def _registered(s: SparkSession, d: str) -> DataFrame:
+    found = extraction.references(code_files(s, d, "python"), "python").withColumn("seq", F.col("line"))
+    functions = found.select("seq", F.col("source").alias("id"), F.lit("function").alias("type"), F.element_at(F.split("source", ":"), -1).alias("name"), F.lit("python").alias("source_system"))
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    catalog_nodes = table(s, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("table:"), brand).alias("id"), F.lit("table").alias("type"), F.upper(brand).alias("name"), F.lit("prisma").alias("source_system"))
+    return graph.registered_graph(catalog_nodes, functions, found).select("id", "type", "name", "source_system")
+
+
 def _assembled_edges(s: SparkSession, d: str) -> DataFrame:
     held, links = _assembled(s, d)
     return graph.endpoints(links.where("type <> 'structural_belongs_to'"), held).groupBy("type", "source_type", "target_type", "target_name").agg(F.count("*").alias("n"))
@@ -216,12 +224,12 @@ def _reconciled(s: SparkSession, d: str) -> DataFrame:
     return graph.reconciled(calls, tables).groupBy("target").agg(F.count("*").alias("n"))
 
 
-def _targets(s: SparkSession, d: str) -> DataFrame:
+def _targets(s: SparkSession, d: str, single_pass: bool = False) -> DataFrame:
     wanted = table(s, d, "supplier").select(F.lower("s_name").alias("target")).union(table(s, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))))
     wanted = wanted.union(table(s, d, "nation").select("n_name")).union(table(s, d, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("x")))).union(s.range(1).select(F.lit("unresolved")))
     qualified = table(s, d, "part").select((F.lit(9 * KIND) + F.col("p_partkey")).alias("seq"), F.concat(F.lit("table:"), F.lower("p_type"), F.lit("."), F.lower("p_brand"), F.lit("."), F.lower("p_name"), F.lit("s")).alias("id"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("name"))
     wanted = wanted.union(table(s, d, "part").select(F.explode(F.array(F.concat("p_name", F.lit("s")), F.upper(F.concat("p_brand", F.lit("."), "p_name", F.lit("s"))), F.concat("p_type", F.lit("."), "p_brand", F.lit("."), "p_name", F.lit("s"))))))
-    return graph.resolve_targets(nodes(s, d).select("seq", "id", "name").unionByName(qualified), wanted)
+    return graph.resolve_targets(nodes(s, d).select("seq", "id", "name").unionByName(qualified), wanted, single_pass)
 
 
 def _tiers(s: SparkSession, d: str) -> DataFrame:
@@ -274,6 +282,9 @@ def queries() -> dict[str, Query]:
         "tier_distribution": _tiers,
         "parallel_edge_collapse": lambda s, d: _prop(s, d),
         "resolve_target": _targets,
+        "resolve_single_pass": lambda s, d: _targets(s, d, True),
+        "graph_metrics_three_places": lambda s, d: graph.metrics(edges(s, d), 3),
+        "registered_graph": _registered,
         "node_breakdown": lambda s, d: nodes(s, d).groupBy("type").agg(F.count("*").alias("n")),
         "edge_breakdown": lambda s, d: edges(s, d).groupBy("type").agg(F.count("*").alias("n")),
         "graph_metrics": lambda s, d: graph.metrics(edges(s, d)),

@@ -281,6 +281,11 @@ def statements(graph: str) -> dict[str, str]:
         "precision_by_type": f"""with s as (select lang as kind, count(*) as n, count(*) filter (where toxic = 0 and actual = 1) as tp, count(*) filter (where toxic = 0 and actual <> 1) as fp, count(*) filter (where toxic <> 0) as unknown from {docs} group by lang)
           select kind, n, tp, fp, unknown, coalesce(round(tp / nullif(tp + fp, 0)::double, 4), 0.0) as precision, round(tp / n::double, 4) as recall, {bound('-', 'greatest', '0.0')} as lower, {bound('+', 'least', '1.0')} as upper, {bound('-', 'greatest', '0.0')} >= 0.7 as passed from s""",
     }
+    out["resolve_single_pass"] = out["resolve_target"].replace("select target, id, 4, seq", "select target, id, 3, seq")
+    out["graph_metrics_three_places"] = out["graph_metrics"].replace("(dynamic * 20000 + dynamic + resolved) // nullif(2 * (dynamic + resolved), 0)", "(dynamic * 2000 + dynamic + resolved) // nullif(2 * (dynamic + resolved), 0) * 10")
+    out["registered_graph"] = f"""with {CODE}, t as (select distinct 'table:' || {brand} as id, upper({brand}) as name from part where p_size < 25), u as (select 'table:' || {naive('w')} as id from code where flag = 'A' union select 'table:' || b from code where flag = 'R' union select 'table:unresolved' from code where flag not in ('A', 'R'))
+      select id, 'table' as type, name, 'prisma' as source_system from t union all select distinct 'func:src/c' || c || '.py:order_' || o, 'function', 'order_' || o, 'python' from code
+      union all select id, 'table', replace(id, 'table:', ''), 'inferred_from_code' from u where id not in (select id from t)"""
     out["clustering_gates"] = out["clustering_gates"].replace("ARI", out["adjusted_rand_index"]).replace("(Q)", f"({out['modularity_q']})")
     out["benchmark_verdict"] = out["benchmark_verdict"].replace("SCORES", out["benchmark_scores"])
     return out
