@@ -142,9 +142,10 @@ def statements(graph: str) -> dict[str, str]:
         "resolve_target": f"""with {graph}, wanted as (select lower(s_name) as target from supplier union select 'customer:' || c_custkey from customer union select n_name from nation union select o_orderkey || 'x' from orders union select 'unresolved'
             union select unnest([p_name || 's', upper(p_brand || '.' || p_name || 's'), p_type || '.' || p_brand || '.' || p_name || 's']) from part),
           n as (select seq, id, name from nodes union all select 9000000000000000 + p_partkey, 'table:' || lower(p_type) || '.' || lower(p_brand) || '.' || lower(p_name) || 's', 't' || p_partkey from part),
+          dots as (select id, seq, lower(replace(id, 'table:', '')) as clean from n where contains(id, '.')), dotted_ends as (select id, seq, clean[p + 1:] as k from (select *, unnest(list_filter(range(1, length(clean) + 1), lambda p: clean[p] = '.')) as p from dots)),
           hits as (select target, id, 1 as way, seq from wanted join n on id = target union all select target, id, 2, seq from wanted join n on id = 'table:' || lower(target)
             union all select target, id, 3, seq from wanted join n on lower(name) = lower(target) union all select target, id, 3, seq from wanted join n on lower(id) = lower(target) union all select target, id, 3, seq from wanted join n on lower(replace(id, 'table:', '')) = lower(target)
-            union all select target, id, 4, seq from wanted join n on ends_with(lower(replace(id, 'table:', '')), '.' || lower(target)) where contains(id, '.') and target <> '')
+            union all select target, id, 4, seq from wanted join dotted_ends on k = lower(target) where target <> '')
           select w.target, first(h.id order by way, seq, h.id) filter (where h.id is not null) as id from wanted w left join hits h using (target) group by w.target""",
         "node_breakdown": f"with {graph} select type, count(*) as n from nodes group by type",
         "edge_breakdown": f"with {graph} select type, count(*) as n from edges group by type",
