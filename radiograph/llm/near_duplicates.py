@@ -9,7 +9,7 @@ at most 86 may differ (at 0.75 more do with a probability of 7e-11), and in a pa
 are compared where two signatures meet, before the links are confirmed on the full shingle sets.
 
 Copies of a text are one class. Within an entry each member is first tried with its nearest hubs only, and in some more
-turns with other hubs, as long as these link anything; members that end in different components afterwards are tried
+turns with other hubs, as long as these link a tenth of them; members that end in different components afterwards are tried
 against each other, so that no link between different texts is lost while a group of near copies is never paired out. An
 entry with many such members is dealt over several tasks.
 
@@ -175,8 +175,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _tried(stars: DataFrame, signs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The links (a, b) of stars(doc_id, hub): each document with the nearest HUBS of its hubs."""
-    stars = written(stars, "stars")
+    """The links (a, b) of the written stars(doc_id, hub): each document with the nearest HUBS of its hubs."""
     ids = bounded(written(stars.select(F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct(), "ids"))
     signs = signs.join(ids, "doc_id", "left_semi")
     x, y = signs.alias("x"), signs.alias("y")
@@ -211,17 +210,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = written(made.join(written(hubs, "hubs"), "entry"), "shared")
 
     slim = signs.drop(*_SYMBOLS)
-    links = _tried(shared.where("doc_id <> hub").select("doc_id", "hub").distinct(), slim, documents)
+    links = _tried(written(shared.where("doc_id <> hub").select("doc_id", "hub").distinct(), "stars"), slim, documents)
     labels = written(connected_components(links), "labels")
     for turn in range(TURNS):
         labelled = written(_labelled(shared, labels), "labelled")
         hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "label")).alias("hub")
         open_entries = written(labelled.groupBy("entry").agg(F.min("label").alias("least"), F.max("label").alias("most"), hub).where("least < most").select("entry", F.col("hub.doc_id").alias("hub"), F.col("hub.label").alias("own")), "hubs")
-        new = _tried(labelled.join(open_entries, "entry").where("label <> own").select("doc_id", "hub").distinct(), slim, documents)
-        new = written(new, "links")
-        if new.isEmpty():
+        stars = written(labelled.join(open_entries, "entry").where("label <> own").select("doc_id", "hub").distinct(), "stars")
+        new = written(_tried(stars, slim, documents), "links")
+        found = new.count()
+        if found:
+            labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)), "labels")
+        if 10 * found <= stars.select("doc_id").distinct().count():  # most share an entry without being alike
             break
-        labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)), "labels")
     labelled = written(_labelled(shared, labels), "labelled")
 
     sizes = labelled.groupBy("entry", "label").agg(F.count("*").alias("n"))
