@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, embeddings, language, licenses, near_duplicates, packing, scoring, secrets, urls
+from . import chat, decontamination, embeddings, language, licenses, near_duplicates, packing, prefixes, scoring, secrets, spelling, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,9 +39,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": lambda s, d: language.identify(table(s, d, "documents")),
         "op9_url_filter": lambda s, d: urls.judge_urls(table(s, d, "pages")),
         "op10_chat_formatting": lambda s, d: chat.rotate(table(s, d, "conversations")),
+        "op11_conversation_prefixes": lambda s, d: prefixes.prefix_trie(table(s, d, "conversations")),
+        "op13_spelling_variants": lambda s, d: spelling.spelling_variants(table(s, d, "documents")),
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontamination.CONTAMINATED_SQL, "op10_chat_formatting": chat.ROTATE_SQL}
+    return {"op6_benchmark_decontamination": decontamination.CONTAMINATED_SQL, "op10_chat_formatting": chat.ROTATE_SQL, "op11_conversation_prefixes": prefixes.PREFIX_SQL, "op13_spelling_variants": spelling.SPELLING_SQL}
