@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, embeddings, language, licenses, near_duplicates, packing, prefixes, scoring, secrets, spelling, urls
+from . import articles, chat, decontamination, embeddings, language, licenses, near_duplicates, packing, prefixes, scoring, secrets, spelling, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": lambda s, d: urls.judge_urls(table(s, d, "pages")),
         "op10_chat_formatting": lambda s, d: chat.rotate(table(s, d, "conversations")),
         "op11_conversation_prefixes": lambda s, d: prefixes.prefix_trie(table(s, d, "conversations")),
+        "op12_html_extraction": lambda s, d: articles.extract_articles(table(s, d, "pages")),
         "op13_spelling_variants": lambda s, d: spelling.spelling_variants(table(s, d, "documents")),
         "pipeline": pipeline,
     }
