@@ -39,8 +39,10 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     stretches = lambda n: F.when(F.size("runs") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("runs") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("runs", i, n), " ")))
     keys = held.select("id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*map(stretches, lengths)))))).alias("k"))
     hits = keys.join(small(wanted), "k")
-    plain = hits.where("name = k").select("id", "name")
-    apart = hits.where("name <> k").select("id", "name").distinct()
+    # A name that is one run is proved by being one; of others, what stands between and around the runs has to be the same.
+    is_run = (F.col("n") == 1) & (F.col("name") == F.col("k"))
+    plain = hits.where(is_run).select("id", "name")
+    apart = hits.where(~is_run).select("id", "name").distinct()
     inside = lambda t, name: F.regexp_like(t, F.concat(F.lit(r"(?<![a-z0-9])\Q"), name, F.lit(r"\E(?![a-z0-9])")))
     proved = apart.join(held.select("id", "text"), "id").where(inside(F.col("text"), F.col("name"))).select("id", "name")
     return plain.union(proved).distinct()

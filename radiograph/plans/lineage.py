@@ -3,25 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table up to which it is sent to all executors; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where a local session has none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that driver and executors share (spark.checkpoint.dir; one of our own where unset)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint()
+    """df as a Parquet table in the shared folder.
+
+    What reads it starts from a file scan, which knows its size: a checkpoint would inherit the size estimated for the
+    plan that made it, and in a loop that uses its table several times the digits of that number multiply each round.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (checkpointed, as it is counted), marked for broadcast if it has at most so many rows."""
+    """df (a cut table, as it is counted), marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -11,7 +11,7 @@ from ..functions import names
 from ..operators import changes, clusters, extraction, graph, naming, relations, schemas, statistics
 from ..sources.code import code_files, schema_files
 from ..sources.tables import GRAPH_SQL, KIND, catalog, edges, nodes, table
-from . import sql
+from . import code_queries, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -343,8 +343,9 @@ def queries() -> dict[str, Query]:
         "brier": lambda s, d: statistics.brier(_predictions(s, d)),
         "calibration_curve": lambda s, d: statistics.calibration_curve(_predictions(s, d)),
         "precision_by_type": lambda s, d: statistics.by_type(_predictions(s, d).select(F.col("lang").alias("kind"), F.when(F.col("toxic") == 0, F.col("actual") == 1).alias("actual"))),
+        **code_queries.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.statements(GRAPH_SQL)
+    return sql.statements(GRAPH_SQL) | code_queries.SQL

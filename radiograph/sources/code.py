@@ -6,7 +6,7 @@ ORM call or a call with a variable, by its return flag. What extraction has to f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import table
@@ -62,3 +62,77 @@ def schema_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     text = F.concat(F.replace(F.lit(begin), F.lit("{o}"), F.col("o")), F.coalesce(F.replace(F.lit(before), F.lit("{p}"), F.col("p")), F.lit("")), F.replace(F.lit(end), F.lit("{o}"), F.col("o")))
     files = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", text.alias("text")))).alias("x"))
     return files.select(F.concat(F.lit("schema/c"), F.col("o_custkey").cast("string"), F.lit(f".{extension}")).alias("path"), F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("content"))
+
+
+#: How a line's tables stand in an order's statement, by line number modulo five; {b} is the table.
+FROM_ITEMS = ("{b} AS t", "shop.{b} t", "(SELECT id FROM \"{b}\" WHERE x = 'from {b}x, y') t", "((SELECT max(a, b) FROM other.{b} t, `{b}` u)) t", "{b}_x CROSS JOIN {b}_y")
+
+
+def _chosen(number: str, styles: tuple[str, ...], **values: str) -> Column:
+    """The style of a line's number, filled in."""
+    texts = []
+    for style in styles:
+        text = F.lit(style)
+        for key, column in values.items():
+            text = F.replace(text, F.lit("{" + key + "}"), F.col(column).cast("string"))
+        texts.append(text)
+    return F.element_at(F.array(*texts), (F.pmod(F.col(number), F.lit(len(styles))) + 1).cast("int"))
+
+
+def _ordered(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
+    """(o_orderkey, o_custkey, lines) with an order's lines, by number and text."""
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    words = F.split("p_name", " ")
+    part = table(spark, sf_dir, "part").select("p_partkey", brand.alias("b"), F.lower(words[1]).alias("w"), F.concat(F.initcap(words[1]), F.initcap(words[0])).alias("m"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    held = lines.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+
+
+def _files(orders: DataFrame, path: str, first: str, header: str) -> DataFrame:
+    """files(path, content): a file for each customer, a function for each of its orders."""
+    named = lambda text, key, column: F.replace(F.lit(text), F.lit(key), F.col(column).cast("string"))
+    body = F.concat_ws("\n", named(header, "{o}", "o_orderkey"), F.coalesce("lines", F.array().cast("array<string>")))
+    files = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", body.alias("body")))).alias("x"))
+    return files.select(named(path, "{c}", "o_custkey").alias("path"), F.concat_ws("\n", F.lit(first), F.transform("x", lambda x: x["body"])).alias("content"))
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, statement): SQL for each order, over the tables of its lines, nested and listed in several ways."""
+    held = _ordered(spark, sf_dir, _chosen("l_linenumber", FROM_ITEMS, b="b"))
+    segment = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("s"))
+    held = held.join(segment, F.col("o_custkey") == F.col("c_custkey"))
+    items = F.aggregate(F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda x, i: F.concat(F.when(i == 0, "").when(i % 2 == 1, " LEFT JOIN ").otherwise(", "), x)), F.lit(""), lambda a, x: F.concat(a, x))
+    text = F.concat(F.lit("WITH r AS (SELECT 1) -- from nothing, not even this\nSELECT extract(year FROM d), 'from here' FROM "), items, F.lit(" WHERE k IN (SELECT id FROM "), F.col("s"), F.lit(") GROUP BY p, q;\nUPDATE "), F.col("s"), F.lit("_log SET n = 1, m = 2 WHERE d IS DISTINCT FROM e"))
+    return held.select("o_orderkey", text.alias("statement"))
+
+
+#: What a line of an order does in a function, by line number modulo six.
+CALLS = (
+    '    query = "SELECT id FROM {b}"', "    cursor.execute(query)", '    query = build("{b}")', '    cursor.execute(f"SELECT {b} FROM nowhere")',
+    '    db.executemany("""SELECT id\n      FROM shop.{b}, {w}""", rows)', '    cursor.execute("SELECT 1 FROM " + query)',
+)
+
+
+def query_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(path, content) in Python whose functions assign constants and other values to a variable, and execute it and others."""
+    return _files(_ordered(spark, sf_dir, _chosen("l_linenumber", CALLS, b="b", w="w")), "src/q{c}.py", "import db", "def order_{o}(cursor):")
+
+
+#: How a part's file declares its model, by part number modulo three, and how a line uses one, by line number modulo three.
+MODELS = ('class {m}(Base):\n    id = 1\n    __tablename__ = "{t}"\n', "class {m}(models.Model):\n    n = 1\n    class Meta:\n        db_table = '{t}'\n    def save(self):\n        pass", "class {m}Line:\n    pass")
+USES = ("    session.query({m}).all()", "    return select(m.{m})", "    {m}.objects.filter(id=1)")
+
+
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(path, content) in Python: one for each part, which may declare a model, and one for each customer, which uses them."""
+    words = F.split("p_name", " ")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.initcap(words[1]), F.initcap(words[0])).alias("m"), F.concat(F.initcap(words[0]), F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("t"))
+    declared = part.select(F.concat(F.lit("models/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), _chosen("p_partkey", MODELS, m="m", t="t").alias("content"))
+    return declared.unionByName(_files(_ordered(spark, sf_dir, _chosen("l_linenumber", USES, m="m")), "src/m{c}.py", "import m", "def order_{o}(session):"))
+
+
+def model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name, seq): a qualified table for every other part's table of a model."""
+    name = F.lower(F.concat(F.initcap(F.split("p_name", " ")[0]), F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit(""))))
+    return table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("table:"), F.lower(F.split("p_type", " ")[0]), F.lit("."), name).alias("id"), name.alias("name"), F.col("p_partkey").alias("seq"))

@@ -66,9 +66,9 @@ def test_changes(spark):
     tables_of, total = changes.change_impact(spark.createDataFrame([("db/001_add_copies.sql",), ("no.py",)], "path string"), held, edges, max_depth=1, high=2)
     assert [tuple(r) for r in tables_of.select("name", "root", "total", "high_risk").collect()] == [("copies", "table:lib.copies", 2, True)]
     assert tuple(total.first()) == (2, 1, 2, 2, 1)
-    texts = spark.createDataFrame([(1, "see order_items, please"), (2, "order items"), (3, "reorder_items"), (4, "ORDER_ITEMS2 (order_items)"), (5, None), (6, "a.b")], "id long, text string")
-    names_of = spark.createDataFrame([("order_items",), ("order",), ("A.B",), ("__",), (None,)], "name string")
-    assert {tuple(r) for r in changes.mentions(texts, names_of).collect()} == {(1, "order_items"), (1, "order"), (2, "order"), (4, "order_items"), (4, "order"), (6, "a.b")}
+    texts = spark.createDataFrame([(1, "see order_items, please"), (2, "order items"), (3, "reorder_items"), (4, "ORDER_ITEMS2 (order_items)"), (5, None), (6, "a.b"), (7, "quick, brown"), (8, "the quick\nbrown"), (9, "a quick brown fox")], "id long, text string")
+    names_of = spark.createDataFrame([("order_items",), ("order",), ("A.B",), ("__",), (None,), ("quick brown",), ("_order",)], "name string")
+    assert {tuple(r) for r in changes.mentions(texts, names_of).collect()} == {(1, "order_items"), (1, "order"), (2, "order"), (4, "order_items"), (4, "order"), (6, "a.b"), (9, "quick brown")}
 
 
 def test_extraction(spark):
