@@ -9,8 +9,9 @@ an end of the document, ten words have to overlap. An item of fewer than ten wor
 stand in the document. Only DataFrame functions are used.
 
 Words are as in the license scan: case, punctuation and white space don't matter. Null and empty texts match nothing.
-Rows without an id match under a null id.
-Rows that repeat an id are one document or item with several texts. Extra columns are ignored.
+Rows without an id match under a null id. Rows that repeat an id are one document or item with several texts: each text
+meets only its own hits, as a row is known by its id and the hash of its text, so many rows of one id make no square.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ LEAST = 10
 BROADCAST_ROWS = 1_000_000
 
 
-def seeds(rows: DataFrame, key: str) -> DataFrame:
-    """(key, at, seed): the hashed masked words at each place; rows has key and w, its words."""
+def seeds(rows: DataFrame, *key: str) -> DataFrame:
+    """(key, at, seed): the hashed masked words at each place; rows has the key's columns and w, its words."""
     enough = rows.where(F.size("w") >= SPAN)
     shifted = [F.slice("w", F.lit(k + 1), F.size("w") - (SPAN - 1)).alias(f"t{k}") for k in range(SPAN)]
-    windows = enough.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("at", "x"))
+    windows = enough.select(*key, F.posexplode(F.arrays_zip(*shifted)).alias("at", "x"))
     hashed = F.array(*[F.xxhash64(F.lit(m), *[F.col(f"x.t{k}") for k in mask]) for m, mask in enumerate(MASKS)])
-    return windows.select(key, "at", F.explode(hashed).alias("seed"))
+    return windows.select(*key, "at", F.explode(hashed).alias("seed"))
 
 
 def whole_places(documents: DataFrame, short: DataFrame) -> DataFrame | None:
@@ -64,15 +65,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_places counts the item's places in the document; doc_word, n_same and n_compared belong to the best of them: the
     word of the document where the comparison begins, the words that are the same, and the words compared.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("of", F.xxhash64("text"))
     items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id()), "items")
     wanted = bounded(written(seeds(items.where(F.size("w") >= LEAST), "row").distinct().withColumnRenamed("at", "item_at"), "seeds"), BROADCAST_ROWS)
-    named = docs.select("doc_id", words(F.col("text")).alias("w"))
-    hits = seeds(named, "doc_id").join(wanted, "seed").select("doc_id", "row", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    named = docs.select("doc_id", "of", words(F.col("text")).alias("w"))
+    hits = seeds(named, "doc_id", "of").join(wanted, "seed").select("doc_id", "of", "row", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = written(hits, "hits")
-    hit_docs = bounded(hits.select(F.col("doc_id").alias("id")).distinct(), BROADCAST_ROWS)
-    texts = docs.join(hit_docs, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(F.col("doc_id").alias("id"), words(F.col("text")).alias("w"))
-    pairs = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).join(items.select("row", "item_id", F.col("w").alias("v")), "row")
+    hit_docs = bounded(hits.select(F.col("doc_id").alias("id"), "of").distinct(), BROADCAST_ROWS)
+    same_row = [F.col("doc_id").eqNullSafe(F.col("id")), F.col("text_of") == F.col("of")]
+    texts = docs.withColumnRenamed("of", "text_of").join(hit_docs, same_row, "left_semi").select(F.col("doc_id").alias("id"), "text_of", words(F.col("text")).alias("w"))
+    pairs = hits.join(texts, same_row).join(items.select("row", "item_id", F.col("w").alias("v")), "row")
     first, last = F.greatest(-F.col("shift"), F.lit(0)), F.least(F.size("v"), F.size("w") - F.col("shift"))
     pairs = pairs.withColumn("first", first).withColumn("last", last).where(F.col("last") - F.col("first") >= LEAST)
     pairs = pairs.withColumn("same", F.zip_with(F.slice("v", F.col("first") + 1, F.col("last") - F.col("first")), F.slice("w", F.col("first") + F.col("shift") + 1, F.col("last") - F.col("first")), lambda a, b: (a == b).cast("int")))
@@ -86,27 +88,26 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "item_id", "n_places", F.col("b.at").cast("long").alias("doc_word"), F.col("b.n_same").cast("long").alias("n_same"), F.col("b.n_compared").cast("long").alias("n_compared"))
 
 
-CONTAMINATED_SQL = """
-with tokens as (
-  select doc_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents
-), items as (
-  select item_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as v from benchmark
-), a as (select doc_id, w, unnest(range(0, len(w) - 9)) as i from tokens where len(w) >= 10),
-b as (select item_id, v, unnest(range(0, len(v) - 9)) as j from items where len(v) >= 10),
-hits as (
-  select distinct doc_id, item_id, i - j as shift from (
-    select doc_id, i, unnest([{'m': 0, 's': [w[i+1], w[i+2], w[i+3], w[i+5], w[i+8], w[i+9]]}, {'m': 1, 's': [w[i+1], w[i+2], w[i+4], w[i+6], w[i+9], w[i+10]]}, {'m': 2, 's': [w[i+1], w[i+3], w[i+6], w[i+7], w[i+8], w[i+10]]}]) as k from a
-  ) join (
-    select item_id, j, unnest([{'m': 0, 's': [v[j+1], v[j+2], v[j+3], v[j+5], v[j+8], v[j+9]]}, {'m': 1, 's': [v[j+1], v[j+2], v[j+4], v[j+6], v[j+9], v[j+10]]}, {'m': 2, 's': [v[j+1], v[j+3], v[j+6], v[j+7], v[j+8], v[j+10]]}]) as k from b
-  ) using (k)
-), pairs as (
-  select doc_id, item_id, shift, greatest(-shift, 0) as f, list_transform(range(greatest(-shift, 0), least(len(v), len(w) - shift)), lambda k: (v[k+1] = w[k+shift+1])::int) as same
-  from hits join tokens using (doc_id) join items using (item_id)
-), checked as (
-  select doc_id, item_id, shift, f + shift as begin_at, list_sum(same) as n_same, len(same) as n_compared from pairs
-  where len(same) >= 10 and len(list_filter(range(1, len(same) - least(len(same), 13) + 2), lambda i: list_sum(same[i:i + least(len(same), 13) - 1]) >= least(len(same), 13) - 2)) > 0
-)
+_WORDS_SQL = "list_filter(string_split_regex(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+#: The contract without masks: of ten words of which two differ three neighbours are the same, so places where three words agree are tried, and whole items of fewer than ten words.
+CONTAMINATED_SQL = f"""
+with tokens as (select row_number() over () as r, doc_id, {_WORDS_SQL.format("text")} as w from documents),
+items as (select row_number() over () as q, item_id, {_WORDS_SQL.format("text")} as v from benchmark),
+a as (select r, unnest(range(0, len(w) - 2)) as i, w from tokens where len(w) >= {LEAST}),
+b as (select q, unnest(range(0, len(v) - 2)) as j, v from items where len(v) >= {LEAST}),
+hits as (select distinct r, q, i - j as shift from (select r, i, w[i + 1:i + 3] as k from a) join (select q, j, v[j + 1:j + 3] as k from b) using (k)),
+pairs as (
+  select r, q, shift, greatest(-shift, 0) as f, v[greatest(-shift, 0) + 1:least(len(v), len(w) - shift)] as x, w[greatest(shift, 0) + 1:least(len(v), len(w) - shift) + shift] as y
+  from hits join tokens using (r) join items using (q) where least(len(v), len(w) - shift) - greatest(-shift, 0) >= {LEAST}
+), compared as (select r, q, shift, f, list_transform(range(1, len(x) + 1), lambda k: (x[k] = y[k])::int) as same from pairs),
+checked as (
+  select r, q, shift, f + shift as begin_at, list_sum(same) as n_same, len(same) as n_compared from compared
+  where len(list_filter(range(1, len(same) - least(len(same), {STRETCH}) + 2), lambda i: list_sum(same[i:i + least(len(same), {STRETCH}) - 1]) >= least(len(same), {STRETCH}) - {MOST_DIFFERENT})) > 0
+), short as (select q, v, len(v) as n from items where len(v) between 1 and {LEAST - 1}),
+stretches as (select r, n, unnest(range(0, len(w) - n + 1)) as i, w from tokens, (select distinct n from short) where len(w) >= n),
+whole as (select r, q, i as shift, i as begin_at, s.n as n_same, s.n as n_compared from stretches t join short s on s.n = t.n and w[i + 1:i + s.n] = v),
+found as (select doc_id, item_id, c.* from (from checked union all from whole) c join tokens using (r) join items using (q))
 select doc_id, item_id, count(distinct shift)::bigint as n_places, arg_max(begin_at, n_same * 1000000000 - shift)::bigint as doc_word,
   max(n_same)::bigint as n_same, arg_max(n_compared, n_same * 1000000000 - shift)::bigint as n_compared
-from checked group by doc_id, item_id
+from found group by doc_id, item_id
 """

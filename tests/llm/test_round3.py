@@ -160,7 +160,8 @@ def test_articles(spark):
     want = "A head­line\nIt was the best of times & it was the worst of times, as the old book has it.\nSo it goes.\nThis is the end of the story, which was not as long as you may have wanted it to be.\nThe author"
     assert articles.main_text(PAGE) == want
     plain = "<div id='menu'>The menu of the day is here</div><h1>Title</h1><div>It is the story of the man who was not there and of the dog that was with him at that time.</div>End.<div><a href='x'>Next</a> <a href='y'>Other pages</a></div><div class='copyright'>by us</div>"
-    assert articles.main_text(plain) == "Title\nIt is the story of the man who was not there and of the dog that was with him at that time.\nEnd."
+    assert articles.main_text(plain) == "Title\nIt is the story of the man who was not there and of the dog that was with him at that time."  # "End." is as near to the links
+    assert articles.main_text(plain.replace("End.", "Short.<br><br>End.")).endswith("time.\nShort.")
     assert articles.main_text("short &lt;text&gt; only") == "short <text> only" and articles.main_text("") == "" and articles.main_text("<p") == "<p" and articles.main_text("<script>x") == ""
     assert len(articles.main_text("<p>" + "the of and to in " * 200_000).split()) == 1_000_000
     assert articles.main_text('<p title="a > b">x</p>' + '<a "' * 20_000).startswith("x")
@@ -169,3 +170,26 @@ def test_articles(spark):
     got = [tuple(r) for r in articles.extract_articles(frame).collect()]
     assert got.count((1, "u", want, len(want))) == 2 and (None, None, "", 0) in got and (2, "v", "", 0) in got and len(got) == 4
     assert articles.extract_articles(frame.limit(0)).collect() == []
+
+
+def test_decontamination_sql(spark, tmp_path):
+    """The query and its SQL, which knows no masks, on items changed in two words, short items, null ids and repeated rows."""
+    from radiograph.llm import decontamination
+
+    ten = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    changed = ["x", *ten[1:5], "y", *ten[6:]]
+    items = [(1, " ".join(ten)), (2, "one two three four five six"), (None, " ".join(f"w{i}" for i in range(30))), (3, None), (4, ""), (5, "single")]
+    texts = [
+        (1, " ".join(ten)), (2, "pre " + " ".join(changed) + " post"), (3, "so ONE, two three four five six."), (None, " ".join(f"w{i}" for i in range(5, 18))), (None, "nothing of it"), (None, " ".join(changed)),
+        (4, " ".join(["x", "y", "z", *ten[3:]])), (5, None), (6, ""), (7, "not single here, but a single one"), (1, " ".join(ten)), (8, " ".join(f"w{i}" for i in range(9))), (9, " ".join(f"w{i}" if i % 5 else "q" for i in range(30))),
+    ]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.execute("create table benchmark(item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", texts)
+    con.executemany("insert into benchmark values (?, ?)", items)
+    got = decontamination.contaminated(docs, bench)
+    want = con.execute(f"select {', '.join(got.columns)} from ({decontamination.CONTAMINATED_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {(1, 1), (2, 1), (3, 2), (None, None), (None, 1), (7, 5)} <= {r[:2] for r in want}
