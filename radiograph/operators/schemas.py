@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from ..functions.names import naive_plural
 
-_NESTED = r"((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)"
-CREATE_TABLE = r"(?i)\bcreate\s+(?:unlogged\s+|temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)\s*\(" + _NESTED + r"\)"
+#: Literals, quoted names and bodies, the characters that divide statements, and what lies between.
+TOKEN = r"""'[^']*+(?:''[^']*+)*+'|"[^"]*+"|`[^`]*+`|\$(\w*)\$[\s\S]*?\$\1\$|[(),;]|[^(),;'"`$]++|['"`$]"""
+CREATE_TABLE = r"(?i)\bcreate\s+(?:unlogged\s+|temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)\s*\z"
+CREATE_PARTITION = r"(?i)\bcreate\s+(?:unlogged\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)\s+partition\s+of\s+([\w.\"`]+)"
+CREATE_VIEW = r"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:materialized\s+)?view\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)"
+NAMED = r"(?i)^\s*constraint\s+([\w\"`]+)\s"
 ADD_KEY = r"(?i)\balter\s+table\s+(?:only\s+)?([\w.\"`]+)\s+add\s+(?:constraint\s+[\w\"`]+\s+)?foreign\s+key\s*\(([^)]*)\)\s*references\s+([\w.\"`]+)\s*(?:\(([^)]*)\))?"
 TABLE_KEY = r"(?i)^(?:constraint\s+[\w\"`]+\s+)?foreign\s+key\s*\(([^)]*)\)\s*references\s+([\w.\"`]+)\s*(?:\(([^)]*)\))?"
 COLUMN_KEY = r"(?i)\breferences\s+([\w.\"`]+)\s*(?:\(([^)]*)\))?"
 PRIMARY = r"(?i)^(?:constraint\s+[\w\"`]+\s+)?primary\s+key\s*\(([^)]*)\)"
 OTHER = r"(?i)^(?:constraint|primary\s+key|unique|check|foreign\s+key|exclude|like|index|key)\b"
+# What models, Rails tables and Rails keys look like.
 MODEL = r"model\s+([a-zA-Z0-9_]+)\s*\{([\s\S]*?)\}"
 RAILS_TABLE = r"create_table\s+[\"']([a-zA-Z0-9_]+)[\"'][\s\S]*?do\s*\|[a-zA-Z0-9_]+\|([\s\S]*?)\bend\b"
 RAILS_KEY = r"add_foreign_key\s+[\"']([a-zA-Z0-9_]+)[\"'],\s*[\"']([a-zA-Z0-9_]+)[\"']"
@@ -49,23 +54,98 @@ def _exploded_keys(rows: DataFrame, qualified: bool) -> DataFrame:
     return each.select("path", "table", F.col("x.o").alias("column"), "target", F.col("x.t").alias("target_column")).where("column <> ''")
 
 
-def ddl(files: DataFrame, qualified: bool = False) -> tuple[DataFrame, DataFrame]:
-    """CREATE TABLE and ALTER TABLE ... ADD FOREIGN KEY; comments don't count. With `qualified`, schemas but `public` stay in the names."""
+def statements(files: DataFrame) -> DataFrame:
+    """(path, place, head, items, tail) of each statement of files(path, content): what stands before its first parenthesis, in it, and after.
+
+    A fold over the tokens counts the depth of parentheses, whatever it is; items are divided by the commas at the first
+    level. Literals, quoted names and quoted bodies are single tokens; comments don't count.
+    """
     text = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), r"/\*[\s\S]*?\*/", ""), r"--[^\n]*", "")
-    rows = files.select("path", text.alias("text"))
-    tables = rows.select("path", F.explode(_pairs(F.col("text"), CREATE_TABLE, 1, 2)).alias("x")).select("path", _plain(F.col("x.g0"), qualified).alias("table"), F.transform(F.split("x.g1", r",(?![^()]*\))(?![^()]*\([^()]*\)[^()]*\))"), lambda i: _trimmed(i)).alias("items"))
+    nothing, none = F.array().cast("array<string>"), F.lit("")
+    cleared = lambda done: F.struct(F.lit(0).alias("where"), F.lit(0).alias("depth"), none.alias("head"), nothing.alias("items"), none.alias("item"), none.alias("tail"), done.alias("done"))
+    ended = lambda s: F.concat(s["done"], F.array(F.struct(s["head"].alias("head"), F.when(s["where"] == 1, F.concat(s["items"], F.array(s["item"]))).otherwise(s["items"]).alias("items"), s["tail"].alias("tail"))))
+
+    def step(s, t):
+        where, depth, opens, closes = s["where"], s["depth"], t == "(", t == ")"
+        begins, ends, divides = opens & (where == 0), closes & (where == 1) & (depth == 1), (t == ",") & (where == 1) & (depth == 1)
+        added = lambda field, at: F.when((where == at) & ~begins & ~ends & ~divides, F.concat(s[field], t)).otherwise(s[field])
+        pushed = F.when(ends | divides, F.concat(s["items"], F.array(s["item"]))).otherwise(s["items"])
+        item = F.when(ends | divides, none).otherwise(added("item", 1))
+        deeper = F.when(opens, depth + 1).when(closes, F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+        goes_on = F.struct(F.when(begins, 1).when(ends, 2).otherwise(where).alias("where"), deeper.alias("depth"), added("head", 0).alias("head"), pushed.alias("items"), item.alias("item"), added("tail", 2).alias("tail"), s["done"].alias("done"))
+        return F.when(t == ";", cleared(ended(s))).otherwise(goes_on)
+
+    done = F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), cleared(F.array().cast("array<struct<head:string,items:array<string>,tail:string>>")), step, ended)
+    return files.select("path", F.posexplode(done).alias("place", "x")).select("path", "place", "x.*").where("trim(head) <> '' or size(items) > 0")
+
+
+def _whole() -> Column:
+    """A statement's text."""
+    return F.concat("head", F.when(F.size("items") > 0, F.concat(F.lit("("), F.array_join("items", ","), F.lit(")"))).otherwise(""), "tail")
+
+
+def ddl_objects(files: DataFrame, qualified: bool = False) -> DataFrame:
+    """(path, name, kind, parent): the tables, partitions (with their parent) and views that statements create; a name's first statement counts."""
+    rows = statements(files)
+    at = lambda pattern, group: F.regexp_extract("head", pattern, group)
+    made = [
+        rows.select("path", "place", F.lit("view").alias("kind"), at(CREATE_VIEW, 1).alias("name"), F.lit("").alias("parent")),
+        rows.select("path", "place", F.lit("partition").alias("kind"), at(CREATE_PARTITION, 1).alias("name"), at(CREATE_PARTITION, 2).alias("parent")),
+        rows.where(at(CREATE_PARTITION, 1) == "").select("path", "place", F.lit("table").alias("kind"), at(CREATE_TABLE, 1).alias("name"), F.lit("").alias("parent")),
+    ]
+    every = made[0].unionByName(made[1]).unionByName(made[2]).where("name <> ''")
+    parent = F.when(F.col("parent") != "", _plain(F.col("parent"), qualified))
+    named = every.select("path", "place", "kind", _plain(F.col("name"), qualified).alias("name"), parent.alias("parent"))
+    return named.groupBy("path", "name").agg(F.min(F.struct("place", "kind", "parent")).alias("b")).select("path", "name", "b.kind", "b.parent")
+
+
+def _created(files: DataFrame, qualified: bool) -> DataFrame:
+    """(path, table, primary, item): the items of every CREATE TABLE, with its primary key's columns."""
+    rows = statements(files).withColumn("table", F.regexp_extract("head", CREATE_TABLE, 1)).where("table <> ''")
+    tables = rows.select("path", _plain(F.col("table"), qualified).alias("table"), F.transform("items", lambda i: _trimmed(i)).alias("items"))
     primary = F.flatten(F.transform("items", lambda i: F.when(i.rlike(PRIMARY), _names(F.regexp_extract(i, PRIMARY, 1))).otherwise(F.array().cast("array<string>"))))
-    items = tables.withColumn("primary", primary).select("path", "table", "primary", F.explode("items").alias("item"))
-    is_column = (F.col("item") != "") & ~F.col("item").rlike(OTHER)
-    name = F.lower(F.regexp_replace(F.regexp_extract("item", r"^\s*(\S+)", 1), "[\"`]", ""))
-    kind = F.lower(F.trim(F.regexp_extract("item", r"(?i)^\s*\S+\s+([a-z][\w ]*?(?:\([^)]*\))?(?:\[\])?)(?=\s+(?:not|null|primary|references|default|unique|check|constraint|collate|generated)\b|\s*$)", 1)))
-    is_primary = F.col("item").rlike(r"(?i)\bprimary\s+key\b") | F.array_contains("primary", name)
-    columns = items.where(is_column).select("path", "table", name.alias("column"), kind.alias("type"), is_primary.alias("primary_key"), (~is_primary & ~F.col("item").rlike(r"(?i)\bnot\s+null\b")).alias("nullable"))
+    return tables.withColumn("primary", primary).select("path", "table", "primary", F.explode("items").alias("item"))
+
+
+def _keys(files: DataFrame, items: DataFrame, qualified: bool) -> DataFrame:
+    """(path, table, constraint, apart, own, target, theirs): keys of columns, and those that stand apart from them, with lists of columns as they are written."""
     at = lambda pattern, *groups: [F.regexp_extract("item", pattern, g) for g in groups]
-    inline = items.where(is_column & F.col("item").rlike(COLUMN_KEY)).select("path", "table", name.alias("own"), *[c.alias(n) for c, n in zip(at(COLUMN_KEY, 1, 2), ("target", "theirs"), strict=True)])
-    listed = items.where(F.col("item").rlike(TABLE_KEY)).select("path", "table", *[c.alias(n) for c, n in zip(at(TABLE_KEY, 1, 2, 3), ("own", "target", "theirs"), strict=True)])
-    added = rows.select("path", F.explode(_pairs(F.col("text"), ADD_KEY, 1, 2, 3, 4)).alias("x")).select("path", _plain(F.col("x.g0"), qualified).alias("table"), F.col("x.g1").alias("own"), F.col("x.g2").alias("target"), F.coalesce("x.g3", F.lit("")).alias("theirs"))
-    return columns, _exploded_keys(inline.unionByName(listed).unionByName(added), qualified)
+    named = F.regexp_extract("item", NAMED, 1).alias("constraint")
+    inline = items.where(_is_column() & F.col("item").rlike(COLUMN_KEY)).select("path", "table", F.lit("").alias("constraint"), F.lit(False).alias("apart"), _column_name().alias("own"), *[c.alias(n) for c, n in zip(at(COLUMN_KEY, 1, 2), ("target", "theirs"), strict=True)])
+    listed = items.where(F.col("item").rlike(TABLE_KEY)).select("path", "table", named, F.lit(True).alias("apart"), *[c.alias(n) for c, n in zip(at(TABLE_KEY, 1, 2, 3), ("own", "target", "theirs"), strict=True)])
+    altered = statements(files).select("path", _whole().alias("item")).where(F.col("item").rlike(ADD_KEY))
+    named_there = F.regexp_extract("item", r"(?i)\badd\s+constraint\s+([\w\"`]+)\s", 1).alias("constraint")
+    added = altered.select("path", _plain(F.regexp_extract("item", ADD_KEY, 1), qualified).alias("table"), named_there, F.lit(True).alias("apart"), *[c.alias(n) for c, n in zip(at(ADD_KEY, 2, 3, 4), ("own", "target", "theirs"), strict=True)])
+    return inline.unionByName(listed).unionByName(added)
+
+
+def _is_column() -> Column:
+    return (F.col("item") != "") & ~F.col("item").rlike(OTHER)
+
+
+def _column_name() -> Column:
+    return F.lower(F.regexp_replace(F.regexp_extract("item", r"^\s*(\S+)", 1), "[\"`]", ""))
+
+
+def ddl(files: DataFrame, qualified: bool = False) -> tuple[DataFrame, DataFrame]:
+    """CREATE TABLE and ALTER TABLE ... ADD FOREIGN KEY; comments don't count. With `qualified`, schemas but `public` stay in the names."""
+    items = _created(files, qualified)
+    kind = F.lower(F.trim(F.regexp_extract("item", r"(?i)^\s*\S+\s+([a-z][\w ]*?(?:\([^)]*\))?(?:\[\])?)(?=\s+(?:not|null|primary|references|default|unique|check|constraint|collate|generated)\b|\s*$)", 1)))
+    is_primary = F.col("item").rlike(r"(?i)\bprimary\s+key\b") | F.array_contains("primary", _column_name())
+    columns = items.where(_is_column()).select("path", "table", _column_name().alias("column"), kind.alias("type"), is_primary.alias("primary_key"), (~is_primary & ~F.col("item").rlike(r"(?i)\bnot\s+null\b")).alias("nullable"))
+    return columns, _exploded_keys(_keys(files, items, qualified), qualified)
+
+
+def ddl_constraints(files: DataFrame, qualified: bool = False) -> DataFrame:
+    """(path, table, constraint, columns, target, target_columns): one row for each foreign key, however many columns it has.
+
+    A key without a name is called `fk_<table>_<column>`, or `fk_<table>_<target>` where it stands apart from its columns.
+    """
+    rows = _keys(files, _created(files, qualified), qualified)
+    target, own = _plain(F.col("target"), qualified), _names(F.col("own"))
+    theirs = F.when(F.trim("theirs") == "", F.transform(own, lambda c: F.lit("id"))).otherwise(_names(F.col("theirs")))
+    called = F.when(F.col("constraint") != "", F.lower(F.regexp_replace("constraint", "[\"`]", ""))).otherwise(F.concat(F.lit("fk_"), "table", F.lit("_"), F.when(F.col("apart"), target).otherwise(F.element_at(own, 1))))
+    return rows.select("path", "table", called.alias("constraint"), own.alias("columns"), target.alias("target"), theirs.alias("target_columns"))
 
 
 def prisma(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -49,6 +49,13 @@ def code_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
 #: kind -> (extension, an order's table, a line for the order before it, what comes after, and the end of a file's first order).
 SCHEMAS = {
     "ddl": ("sql", "CREATE TABLE shop.orders_{o} (\n  id INTEGER PRIMARY KEY, -- key, of course\n  total NUMERIC(10, 2) NOT NULL,\n  note VARCHAR(20)", ",\n  prev_id INTEGER REFERENCES shop.orders_{p}(id)", ",\n  cust_id INTEGER,\n  FOREIGN KEY (cust_id) REFERENCES customers (id),\n  CHECK (total > 0)\n);"),
+    "full": (
+        "sql", "CREATE TABLE shop.orders_{o} (\n  id INTEGER PRIMARY KEY, -- a key; (of course\n  deep NUMERIC(10, 2) DEFAULT ((((1 + (2 * 3))))) CHECK (deep IN (1, (2), ((3)))),\n  note VARCHAR(20) DEFAULT 'a, (b; c',\n  cust_id INTEGER NOT NULL",
+        ",\n  prev_id INTEGER REFERENCES shop.orders_{p}(id)",
+        ",\n  CONSTRAINT pair_{o} FOREIGN KEY (id, cust_id) REFERENCES shop.pairs (a, b) ON DELETE CASCADE,\n  FOREIGN KEY (cust_id) REFERENCES customers\n) PARTITION BY RANGE (id);\n"
+        "CREATE TABLE orders_{o}_y PARTITION OF shop.orders_{o} FOR VALUES FROM (1) TO (2);\nCREATE OR REPLACE VIEW shop.v_{o} (a, b) AS SELECT id, f(note, 1) FROM shop.orders_{o};\n"
+        "ALTER TABLE ONLY shop.orders_{o} ADD CONSTRAINT self_{o} FOREIGN KEY (deep) REFERENCES shop.orders_{o} (id);",
+    ),
     "prisma": ("prisma", "model Order{o} {\n  id Int @id\n  total Float?", "\n  prev Order{p} @relation(fields: [prev_id], references: [id])\n  prev_id Int", "\n  // a note\n  @@index([total])\n}"),
     "rails": ("rb", 'create_table "orders_{o}" do |t|\n  t.float "total"', '\n  t.integer "order_{p}_id", null: false', '\nend\nadd_foreign_key "orders_{o}", "customers"'),
 }
