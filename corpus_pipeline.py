@@ -12,19 +12,29 @@ from radiograph.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Logical nodes under which each row of a file gives at most one row.
+_ROW_BY_ROW = ("Project", "Filter", "SubqueryAlias", "LogicalRelation")
+
+
+def _is_scan(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName() in _ROW_BY_ROW and all(_is_scan(children.apply(i)) for i in range(children.size()))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with a key for each row: a null or repeated doc_id names no row.
 
-    A row of a file is named by its file's number and its place there, which every scan gives alike, so that the
-    documents needn't be written again; rows that come from no file are written with a running number.
+    A row of a scan is named by its file's number and its place there, which every scan gives alike, so that the documents
+    needn't be written again; rows of any other plan (a union, a join, rows made of others) are written with a running
+    number. Spark's driver holds the names of a scan's files in any case.
     """
-    if not docs.inputFiles():
+    if not docs.inputFiles() or not _is_scan(docs._jdf.queryExecution().analyzed()):
         return written(docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()), "keyed")
     files = sorted(r["file"] for r in docs.select(F.col("_metadata.file_path").alias("file")).distinct().collect())  # one row for each file
     numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "number long, file string")
     placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
     key = F.call_function("shiftleft", F.col("number"), F.lit(40)) + F.col("place")
-    return placed.join(F.broadcast(numbers), "file").select(*COLUMNS, key.alias("key"))
+    return placed.join(bounded(numbers), "file").select(*COLUMNS, key.alias("key"))
 
 
 def _without(docs: DataFrame, keys: DataFrame, tag: str) -> DataFrame:

@@ -193,3 +193,21 @@ def test_decontamination_sql(spark, tmp_path):
     want = con.execute(f"select {', '.join(got.columns)} from ({decontamination.CONTAMINATED_SQL})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert {(1, 1), (2, 1), (3, 2), (None, None), (None, 1), (7, 5)} <= {r[:2] for r in want}
+
+
+def test_pipeline_keys(spark, tmp_path):
+    """Rows of scans, unions, joins and exploded rows all have keys of their own, and stages take any of them."""
+    import corpus_pipeline as pipeline
+
+    rows = [(i % 3, f"a text of some words number {i % 4} that goes on for a while", "en", "s", 1) for i in range(8)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    exploded = read.withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2)))).drop("twice")
+    for frame, n in ((read, 9), (read.where("doc_id > 0"), 5), (read.union(read), 18), (read.dropDuplicates(), 5), (read.join(read.select("doc_id").distinct(), "doc_id"), 8), (exploded, 18), (docs, 9), (read.limit(0), 0)):
+        keyed = pipeline._keyed(frame)
+        keys = [r["key"] for r in keyed.select("key").collect()]
+        assert len(keys) == len(set(keys)) and (len(keys) == n or n == 5)
+    spark.createDataFrame([(1, "nothing that stands in the texts above this line of words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pipeline.drop_benchmark_text(spark, read.union(read), str(tmp_path)).count() == 18
+    assert pipeline.keep_one_of_each(spark, read.union(read), str(tmp_path)).count() == 4 + 2  # four texts, and rows without one
