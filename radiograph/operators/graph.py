@@ -166,3 +166,25 @@ def endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def distinct_blind_spots(spots: DataFrame) -> DataFrame:
     """Blind spots of several results, spots(root, seq, kind, severity, message): each message once, as it first came."""
     return spots.groupBy("message").agg(F.min(F.struct("seq", "root", "kind", "severity")).alias("b"), F.count("*").alias("n")).select("message", "b.root", "b.kind", "b.severity", "n")
+
+
+def named_ends(reached: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, node, type, name, c4, depth, listed) of a blast radius in the second dialect, which knows no tiers.
+
+    A node that isn't known is a file or a table, by the end at which the first edge that has it names it. listed is
+    where a result shows it: functions, files or tables; partitions count in the total only.
+    """
+    ends = [edges.select(F.col(c).alias("node"), "seq", F.lit(kind).alias("kind")) for c, kind in (("source", "file"), ("target", "table"))]
+    told = small(cut(reached.select("node").distinct().join(nodes.select(F.col("id").alias("node")), "node", "left_anti")))
+    first = ends[0].unionByName(ends[1]).join(told, "node", "left_semi").groupBy("node").agg(F.min(F.struct("seq", "kind"))["kind"].alias("kind"))
+    out = reached.join(nodes.select(F.col("id").alias("node"), "type", "name"), "node", "left").join(first, "node", "left")
+    kind = F.coalesce("type", "kind")
+    listed = F.when(kind == "function", "functions").when(kind == "file", "files").when(kind.isin("table", "view"), "tables")
+    return out.select("root", "node", kind.alias("type"), F.coalesce("name", "node").alias("name"), "c4", F.col("depth").cast("long").alias("depth"), listed.alias("listed"))
+
+
+def tree_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nodes, edges, dynamic, dynamic_tenths): the counts of an overview, with the share of unresolved calls among all edges in tenths of a per cent."""
+    one = edges.agg(F.count("*").alias("edges"), F.coalesce(F.sum((F.col("type") == DYNAMIC).cast("long")), F.lit(0)).alias("dynamic"))
+    tenths = F.coalesce(F.expr("(dynamic * 2000 + edges) div nullif(2 * edges, 0)"), F.lit(0)).cast("long")
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(one).select("nodes", "edges", "dynamic", tenths.alias("dynamic_tenths"))

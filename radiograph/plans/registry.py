@@ -11,7 +11,7 @@ from ..functions import names
 from ..operators import changes, clusters, extraction, graph, naming, relations, schemas, statistics
 from ..sources.code import code_files, schema_files
 from ..sources.tables import GRAPH_SQL, KIND, catalog, edges, nodes, table
-from . import catalog_queries, code_queries, sql
+from . import catalog_queries, code_queries, measure_queries, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -345,8 +345,9 @@ def queries() -> dict[str, Query]:
         "precision_by_type": lambda s, d: statistics.by_type(_predictions(s, d).select(F.col("lang").alias("kind"), F.when(F.col("toxic") == 0, F.col("actual") == 1).alias("actual"))),
         **code_queries.queries(),
         **catalog_queries.queries(),
+        **measure_queries.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.statements(GRAPH_SQL) | code_queries.SQL | catalog_queries.SQL
+    return sql.statements(GRAPH_SQL) | code_queries.SQL | catalog_queries.SQL | measure_queries.SQL
