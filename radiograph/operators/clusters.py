@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import bare_name
 from ..plans.lineage import cut
+from ..plans.numbering import numbered
 
 
 def cooccurrence(touches: DataFrame) -> DataFrame:
@@ -110,15 +111,15 @@ def described(tables: DataFrame, pairs: DataFrame, labels: DataFrame) -> tuple[D
     """
     related = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     isolated = tables.join(related, "id", "left_anti").select("name")
-    held = labels.join(related.withColumnRenamed("id", "node"), "node", "left_semi")
+    held = cut(labels.join(related.withColumnRenamed("id", "node"), "node", "left_semi"))
     sizes = density(pairs, held)
     inner = pairs.join(held.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(held.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb")
     hubs = held.join(degrees(inner.select("a", "b", "w")), "node", "left").groupBy("community").agg(F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), "node"))["node"].alias("id"))
     hubs = hubs.join(tables, "id").select("community", F.col("name").alias("hub"))
     named = held.join(tables.withColumnRenamed("id", "node"), "node").join(hubs, "community").select("community", "name", "hub")
     rows = sizes.drop("hub").join(hubs, "community").join(cluster_labels(named), "community")
-    place = F.row_number().over(Window.orderBy(F.desc("size"), "community")).cast("long")  # one row for each cluster
-    return rows.select(place.alias("place"), "community", "label", "hub", "size", "density_c4", "inner_weight"), isolated
+    rows = numbered(rows.select("community", "label", "hub", "size", "density_c4", "inner_weight"), F.desc("size"), "community")
+    return rows.select("place", "community", "label", "hub", "size", "density_c4", "inner_weight"), isolated
 
 
 def cluster_catalog(nodes: DataFrame, edges: DataFrame, with_code: bool = True, with_prefix: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import naive_plural
 
+#: Marks of a comma and of parentheses at the first level, and of a statement's end.
+_COMMA, _OPEN, _CLOSE, _END = "\x01", "\x02", "\x03", "\x04"
 #: Literals, quoted names and bodies, the characters that divide statements, and what lies between.
 TOKEN = r"""'[^']*+(?:''[^']*+)*+'|"[^"]*+"|`[^`]*+`|\$(\w*)\$[\s\S]*?\$\1\$|[(),;]|[^(),;'"`$]++|['"`$]"""
 CREATE_TABLE = r"(?i)\bcreate\s+(?:unlogged\s+|temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)\s*\z"
@@ -57,66 +59,55 @@ def _exploded_keys(rows: DataFrame, qualified: bool) -> DataFrame:
 def statements(files: DataFrame) -> DataFrame:
     """(path, place, head, items, tail) of each statement of files(path, content): what stands before its first parenthesis, in it, and after.
 
-    A fold over the tokens counts the depth of parentheses, whatever it is; items are divided by the commas at the first
-    level. Literals, quoted names and quoted bodies are single tokens; comments don't count.
+    A fold over the tokens counts the depth of parentheses, whatever it is, and marks those of the first level, the commas
+    in them and the ends of statements; the text is then divided at the marks. Literals, quoted names and quoted bodies are single tokens; comments don't count.
     """
     text = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), r"/\*[\s\S]*?\*/", ""), r"--[^\n]*", "")
-    nothing, none = F.array().cast("array<string>"), F.lit("")
-    cleared = lambda done: F.struct(F.lit(0).alias("where"), F.lit(0).alias("depth"), none.alias("head"), nothing.alias("items"), none.alias("item"), none.alias("tail"), done.alias("done"))
-    ended = lambda s: F.concat(s["done"], F.array(F.struct(s["head"].alias("head"), F.when(s["where"] == 1, F.concat(s["items"], F.array(s["item"]))).otherwise(s["items"]).alias("items"), s["tail"].alias("tail"))))
+    tokens = F.regexp_extract_all(F.translate(text, _COMMA + _OPEN + _CLOSE + _END, ""), F.lit(TOKEN), F.lit(0))
 
-    def step(s, t):
-        where, depth, opens, closes = s["where"], s["depth"], t == "(", t == ")"
-        begins, ends, divides = opens & (where == 0), closes & (where == 1) & (depth == 1), (t == ",") & (where == 1) & (depth == 1)
-        added = lambda field, at: F.when((where == at) & ~begins & ~ends & ~divides, F.concat(s[field], t)).otherwise(s[field])
-        pushed = F.when(ends | divides, F.concat(s["items"], F.array(s["item"]))).otherwise(s["items"])
-        item = F.when(ends | divides, none).otherwise(added("item", 1))
-        deeper = F.when(opens, depth + 1).when(closes, F.greatest(depth - 1, F.lit(0))).otherwise(depth)
-        goes_on = F.struct(F.when(begins, 1).when(ends, 2).otherwise(where).alias("where"), deeper.alias("depth"), added("head", 0).alias("head"), pushed.alias("items"), item.alias("item"), added("tail", 2).alias("tail"), s["done"].alias("done"))
-        return F.when(t == ";", cleared(ended(s))).otherwise(goes_on)
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"]
+        deeper = F.when(t == "(", depth + 1).when(t == ")", F.greatest(depth - 1, F.lit(0))).when(t == ";", 0).otherwise(depth)
+        mark = F.when(depth > 1, F.when(t == ";", _END).otherwise(t)).when(t == ";", _END).when((t == "(") & (depth == 0), _OPEN).when((t == ")") & (depth == 1), _CLOSE).when((t == ",") & (depth == 1), _COMMA).otherwise(t)
+        return F.struct(deeper.alias("depth"), F.concat(s["text"], mark).alias("text"))
 
-    done = F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), cleared(F.array().cast("array<struct<head:string,items:array<string>,tail:string>>")), step, ended)
-    return files.select("path", F.posexplode(done).alias("place", "x")).select("path", "place", "x.*").where("trim(head) <> '' or size(items) > 0")
-
-
-def _whole() -> Column:
-    """A statement's text."""
-    return F.concat("head", F.when(F.size("items") > 0, F.concat(F.lit("("), F.array_join("items", ","), F.lit(")"))).otherwise(""), "tail")
+    marked = F.aggregate(tokens, F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step, lambda s: s["text"])
+    each = files.select("path", F.posexplode(F.split(marked, _END)).alias("place", "s"))
+    head, rest = F.substring_index("s", _OPEN, 1), F.when(F.contains("s", F.lit(_OPEN)), F.substring("s", F.length(F.substring_index("s", _OPEN, 1)) + 2, F.length("s")))
+    inside = F.substring_index(rest, _CLOSE, 1)
+    tail = F.translate(F.substring(rest, F.length(inside) + 2, F.length(rest)), _COMMA + _OPEN + _CLOSE, ",()")
+    items = F.when(rest.isNotNull(), F.split(inside, _COMMA)).otherwise(F.array().cast("array<string>"))
+    return each.where("trim(s) <> ''").select("path", "place", head.alias("head"), items.alias("items"), F.coalesce(tail, F.lit("")).alias("tail"))
 
 
 def ddl_objects(files: DataFrame, qualified: bool = False) -> DataFrame:
     """(path, name, kind, parent): the tables, partitions (with their parent) and views that statements create; a name's first statement counts."""
-    rows = statements(files)
-    at = lambda pattern, group: F.regexp_extract("head", pattern, group)
-    made = [
-        rows.select("path", "place", F.lit("view").alias("kind"), at(CREATE_VIEW, 1).alias("name"), F.lit("").alias("parent")),
-        rows.select("path", "place", F.lit("partition").alias("kind"), at(CREATE_PARTITION, 1).alias("name"), at(CREATE_PARTITION, 2).alias("parent")),
-        rows.where(at(CREATE_PARTITION, 1) == "").select("path", "place", F.lit("table").alias("kind"), at(CREATE_TABLE, 1).alias("name"), F.lit("").alias("parent")),
-    ]
-    every = made[0].unionByName(made[1]).unionByName(made[2]).where("name <> ''")
-    parent = F.when(F.col("parent") != "", _plain(F.col("parent"), qualified))
-    named = every.select("path", "place", "kind", _plain(F.col("name"), qualified).alias("name"), parent.alias("parent"))
+    view, part, parent, table = (F.regexp_extract("head", p, g) for p, g in ((CREATE_VIEW, 1), (CREATE_PARTITION, 1), (CREATE_PARTITION, 2), (CREATE_TABLE, 1)))
+    kind = F.when(view != "", "view").when(part != "", "partition").when(table != "", "table")
+    name = F.when(view != "", view).when(part != "", part).otherwise(table)
+    named = statements(files).select("path", "place", kind.alias("kind"), _plain(name, qualified).alias("name"), F.when(parent != "", _plain(parent, qualified)).alias("parent")).where("kind is not null")
     return named.groupBy("path", "name").agg(F.min(F.struct("place", "kind", "parent")).alias("b")).select("path", "name", "b.kind", "b.parent")
 
 
-def _created(files: DataFrame, qualified: bool) -> DataFrame:
-    """(path, table, primary, item): the items of every CREATE TABLE, with its primary key's columns."""
-    rows = statements(files).withColumn("table", F.regexp_extract("head", CREATE_TABLE, 1)).where("table <> ''")
-    tables = rows.select("path", _plain(F.col("table"), qualified).alias("table"), F.transform("items", lambda i: _trimmed(i)).alias("items"))
+def _items(files: DataFrame, qualified: bool) -> DataFrame:
+    """(path, table, primary, item, added): the items of every CREATE TABLE, with its primary key's columns, and every ALTER TABLE that adds a key, whole."""
+    created, whole = F.regexp_extract("head", CREATE_TABLE, 1), F.concat("head", F.when(F.size("items") > 0, F.concat(F.lit("("), F.array_join("items", ","), F.lit(")"))).otherwise(""), "tail")
+    rows = statements(files).select("path", created.alias("table"), F.transform("items", lambda i: _trimmed(i)).alias("items"), whole.alias("whole"))
+    added = (F.col("table") == "") & F.col("whole").rlike(ADD_KEY)
+    rows = rows.withColumn("added", added).where("table <> '' or added")
     primary = F.flatten(F.transform("items", lambda i: F.when(i.rlike(PRIMARY), _names(F.regexp_extract(i, PRIMARY, 1))).otherwise(F.array().cast("array<string>"))))
-    return tables.withColumn("primary", primary).select("path", "table", "primary", F.explode("items").alias("item"))
+    name = F.when(F.col("added"), F.regexp_extract("whole", ADD_KEY, 1)).otherwise(F.col("table"))
+    return rows.select("path", _plain(name, qualified).alias("table"), F.when(F.col("added"), F.array().cast("array<string>")).otherwise(primary).alias("primary"), "added", F.explode(F.when(F.col("added"), F.array("whole")).otherwise(F.col("items"))).alias("item"))
 
 
-def _keys(files: DataFrame, items: DataFrame, qualified: bool) -> DataFrame:
+def _keys(items: DataFrame) -> DataFrame:
     """(path, table, constraint, apart, own, target, theirs): keys of columns, and those that stand apart from them, with lists of columns as they are written."""
-    at = lambda pattern, *groups: [F.regexp_extract("item", pattern, g) for g in groups]
-    named = F.regexp_extract("item", NAMED, 1).alias("constraint")
-    inline = items.where(_is_column() & F.col("item").rlike(COLUMN_KEY)).select("path", "table", F.lit("").alias("constraint"), F.lit(False).alias("apart"), _column_name().alias("own"), *[c.alias(n) for c, n in zip(at(COLUMN_KEY, 1, 2), ("target", "theirs"), strict=True)])
-    listed = items.where(F.col("item").rlike(TABLE_KEY)).select("path", "table", named, F.lit(True).alias("apart"), *[c.alias(n) for c, n in zip(at(TABLE_KEY, 1, 2, 3), ("own", "target", "theirs"), strict=True)])
-    altered = statements(files).select("path", _whole().alias("item")).where(F.col("item").rlike(ADD_KEY))
-    named_there = F.regexp_extract("item", r"(?i)\badd\s+constraint\s+([\w\"`]+)\s", 1).alias("constraint")
-    added = altered.select("path", _plain(F.regexp_extract("item", ADD_KEY, 1), qualified).alias("table"), named_there, F.lit(True).alias("apart"), *[c.alias(n) for c, n in zip(at(ADD_KEY, 2, 3, 4), ("own", "target", "theirs"), strict=True)])
-    return inline.unionByName(listed).unionByName(added)
+    at = lambda pattern, group: F.regexp_extract("item", pattern, group)
+    added, listed, inline = F.col("added"), F.col("item").rlike(TABLE_KEY), _is_column() & F.col("item").rlike(COLUMN_KEY)
+    chosen = lambda a, b, c: F.when(added, a).when(listed, b).otherwise(c)
+    named = chosen(at(r"(?i)\badd\s+constraint\s+([\w\"`]+)\s", 1), at(NAMED, 1), F.lit(""))
+    parts = [chosen(at(ADD_KEY, 2), at(TABLE_KEY, 1), _column_name()), chosen(at(ADD_KEY, 3), at(TABLE_KEY, 2), at(COLUMN_KEY, 1)), chosen(at(ADD_KEY, 4), at(TABLE_KEY, 3), at(COLUMN_KEY, 2))]
+    return items.where(added | listed | inline).select("path", "table", named.alias("constraint"), (added | listed).alias("apart"), *[c.alias(n) for c, n in zip(parts, ("own", "target", "theirs"), strict=True)])
 
 
 def _is_column() -> Column:
@@ -129,11 +120,12 @@ def _column_name() -> Column:
 
 def ddl(files: DataFrame, qualified: bool = False) -> tuple[DataFrame, DataFrame]:
     """CREATE TABLE and ALTER TABLE ... ADD FOREIGN KEY; comments don't count. With `qualified`, schemas but `public` stay in the names."""
-    items = _created(files, qualified)
+    every = _items(files, qualified)
+    items = every.where("not added")
     kind = F.lower(F.trim(F.regexp_extract("item", r"(?i)^\s*\S+\s+([a-z][\w ]*?(?:\([^)]*\))?(?:\[\])?)(?=\s+(?:not|null|primary|references|default|unique|check|constraint|collate|generated)\b|\s*$)", 1)))
     is_primary = F.col("item").rlike(r"(?i)\bprimary\s+key\b") | F.array_contains("primary", _column_name())
     columns = items.where(_is_column()).select("path", "table", _column_name().alias("column"), kind.alias("type"), is_primary.alias("primary_key"), (~is_primary & ~F.col("item").rlike(r"(?i)\bnot\s+null\b")).alias("nullable"))
-    return columns, _exploded_keys(_keys(files, items, qualified), qualified)
+    return columns, _exploded_keys(_keys(every), qualified)
 
 
 def ddl_constraints(files: DataFrame, qualified: bool = False) -> DataFrame:
@@ -141,7 +133,7 @@ def ddl_constraints(files: DataFrame, qualified: bool = False) -> DataFrame:
 
     A key without a name is called `fk_<table>_<column>`, or `fk_<table>_<target>` where it stands apart from its columns.
     """
-    rows = _keys(files, _created(files, qualified), qualified)
+    rows = _keys(_items(files, qualified))
     target, own = _plain(F.col("target"), qualified), _names(F.col("own"))
     theirs = F.when(F.trim("theirs") == "", F.transform(own, lambda c: F.lit("id"))).otherwise(_names(F.col("theirs")))
     called = F.when(F.col("constraint") != "", F.lower(F.regexp_replace("constraint", "[\"`]", ""))).otherwise(F.concat(F.lit("fk_"), "table", F.lit("_"), F.when(F.col("apart"), target).otherwise(F.element_at(own, 1))))

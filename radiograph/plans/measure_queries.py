@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import changes, graph, paths, reports, statistics
+from ..operators import changes, clusters, graph, paths, reports, statistics
 from ..sources.tables import GRAPH_SQL, edges, nodes, table
 from ..streaming import maintained
 from .lineage import cut, shared_folder
@@ -71,8 +71,28 @@ def _second(s: SparkSession, d: str) -> DataFrame:
     return graph.named_ends(reached, nodes(s, d).where("type <> 'function' and type <> 'view'"), edges(s, d))
 
 
+def module_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): a table for each part type and kind of thing; lines that follow each other are keys, orders touch their lines' tables."""
+    part = table(s, d, "part").select("p_partkey", F.concat(F.lit("table:shop."), F.lower("p_type"), F.lit("_"), F.split("p_name", " ")[1]).alias("id"))
+    lines = table(s, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "id")
+    code = lines.select(F.concat(F.lit("func:o"), F.col("l_orderkey").cast("string")).alias("source"), F.col("id").alias("target"), F.lit(9600).cast("long").alias("c4")).distinct()
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("id").alias("target"))
+    keys = lines.withColumnRenamed("id", "source").join(after, ["l_orderkey", "l_linenumber"]).select("source", "target", F.lit(10000).cast("long").alias("c4")).distinct()
+    return part.select("id", F.lit("table").alias("type")).distinct(), keys.union(code)
+
+
+def _described(s: SparkSession, d: str) -> DataFrame:
+    """The clusters of the module graph's tables, if those of one part type belong together."""
+    held, links = module_graph(s, d)
+    tables = clusters.clustered_tables(held)
+    pairs = cut(clusters.relatedness(tables, links))
+    labels = tables.select(F.col("id").alias("node"), F.element_at(F.split("name", "_"), 1).alias("community"))
+    return clusters.described(tables, pairs, labels)[0]
+
+
 def queries() -> dict:
     return {
+        "described_clusters": _described,
         "path_sample": _sample,
         "path_calibration": lambda s, d: statistics.calibration_curve(_sample(s, d)),
         "zipped_pairs": _zipped,
@@ -107,7 +127,24 @@ sample as (select hops, path, c4 / 10000.0::double as p, actual::bigint as actua
 _PLAIN = "regexp_replace(replace(lower(trim(url)), chr(92), '/'), '^[./]+', '')"
 _REPLAYED = """last as (select user_id, arg_max(event_id, ts) as i, arg_max(event_type, ts) as k from events group by 1),
 refs as (select distinct 'file:u' || user_id as source, 'table' as x, unnest([k, 't' || i % 5, 't' || i % 3]) as target from last where k <> 'error')"""
+_SHOP = "'table:shop.' || lower(p_type) || '_' || string_split(p_name, ' ')[2]"
 SQL = {
+    "described_clusters": f"""with l as (select l_orderkey as o, l_linenumber as i, {_SHOP} as id from lineitem join part on l_partkey = p_partkey), k as (select distinct x.id as s, y.id as t from l x join l y on x.o = y.o and y.i = x.i + 1),
+      t as (select distinct o, id from l), n as (select distinct {_SHOP} as id, lower(p_type) || '_' || string_split(p_name, ' ')[2] as name, lower(p_type) as f from part),
+      e as (select least(s, t) as a, greatest(s, t) as b, 10000 as w from k where s <> t union all select x.id, y.id, 5000 from t x join t y on x.o = y.o and x.id < y.id union all select x.id, y.id, 9200 from n x join n y on x.f = y.f and x.id < y.id),
+      pairs as (select a, b, sum(w)::bigint as w from e group by a, b), held as (select id, name, string_split(name, '_')[1] as community from n where id in (select a from pairs union select b from pairs)),
+      inside as (select x.community, p.* from pairs p join held x on x.id = a join held y on y.id = b where x.community = y.community),
+      degrees as (select id, sum(w) as degree from (select a as id, w from inside union all select b, w from inside) group by id),
+      m as (select community, count(*) as size, first(name order by coalesce(degree, 0) desc, id) as hub from held left join degrees using (id) group by community),
+      i as (select community, count(*) as n, sum(w)::bigint as inner_weight from inside group by community),
+      w as (select community, name, unnest(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: length(x) >= 3)) as word, generate_subscripts(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: length(x) >= 3), 1) as place from held),
+      c as (select community, word, count(*) as n, min(name || chr(1) || place) as begins, count(*) filter (where place = 1) as firsts, min(name) filter (where place = 1) as first_at from w group by 1, 2),
+      top as (select * from (select *, row_number() over (partition by community order by n desc, begins) as r from c where word not in ('model', 'data', 'item', 'items', 'type', 'types', 'table', 'info', 'custom', 'base', 'assigned', 'entry', 'entries', 'record', 'records')) where r <= 3),
+      f as (select community, word as prefix from (select *, row_number() over (partition by community order by firsts desc, first_at, word) as r from c where firsts > 0) where r = 1),
+      q as (select m.*, coalesce((select prefix from f where f.community = m.community and prefix in (select word from top where top.community = m.community)), (select word from top where top.community = m.community and r = 1), hub) as lead from m),
+      s as (select q.*, (select first(word order by r) from top where top.community = q.community and word <> lead and length(word) >= 4) as second from q)
+      select row_number() over (order by size desc, community) as place, community, case when size = 1 then upper(hub[1]) || hub[2:] || ' Module' else upper(lead[1]) || lead[2:] || coalesce(' & ' || upper(second[1]) || second[2:], '') || ' Domain' end as label,
+        hub, size, (case when size < 2 then 10000 else coalesce(n, 0) * 20000 // (size * (size - 1)) end)::bigint as density_c4, coalesce(inner_weight, 0)::bigint as inner_weight from s left join i using (community)""",
     "path_sample": f"{_PATHS} select hops, path, p, actual from sample",
     "path_calibration": f"""{_PATHS}, b as (select least(floor(p * 10), 9)::bigint as bucket, count(*) as n, avg(p) as mean, avg(actual) as accuracy from sample group by 1)
       select i as bucket, coalesce(n, 0) as n, round(mean, 4) as mean, round(accuracy, 4) as accuracy, round(abs(mean - accuracy), 4) as error, coalesce(n, 0) < 10 as too_few, case when coalesce(n, 0) < 10 then true else abs(mean - accuracy) <= 0.15 end as within

@@ -155,18 +155,8 @@ def _declared_in(kind: str, which: int) -> Query:
     return query
 
 
-def _module_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): a table for each part type and kind of thing; lines that follow each other are keys, orders touch their lines' tables."""
-    part = table(s, d, "part").select("p_partkey", F.concat(F.lit("table:shop."), F.lower("p_type"), F.lit("_"), F.split("p_name", " ")[1]).alias("id"))
-    lines = table(s, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "id")
-    code = lines.select(F.concat(F.lit("func:o"), F.col("l_orderkey").cast("string")).alias("source"), F.col("id").alias("target"), F.lit(9600).cast("long").alias("c4")).distinct()
-    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("id").alias("target"))
-    keys = lines.withColumnRenamed("id", "source").join(after, ["l_orderkey", "l_linenumber"]).select("source", "target", F.lit(10000).cast("long").alias("c4")).distinct()
-    return part.select("id", F.lit("table").alias("type")).distinct(), keys.union(code)
-
-
 def _related(s: SparkSession, d: str) -> DataFrame:
-    held, links = _module_graph(s, d)
+    held, links = measure_queries.module_graph(s, d)
     return clusters.relatedness(clusters.clustered_tables(held), links)
 
 
@@ -317,7 +307,7 @@ def queries() -> dict[str, Query]:
         "touching_edges": _touching,
         "table_relatedness": _related,
         "cluster_labels": _module_labels,
-        "cluster_catalog": lambda s, d: clusters.cluster_catalog(*_module_graph(s, d))[0],
+        "cluster_catalog": lambda s, d: clusters.cluster_catalog(*measure_queries.module_graph(s, d))[0],
         "clustering_gates": lambda s, d: statistics.clustering_gates(queries()["adjusted_rand_index"](s, d), queries()["modularity_q"](s, d)),
         "calibration_report": lambda s, d: statistics.calibration_report(_predictions(s, d)),
         "bucket_labels": lambda s, d: statistics.calibration_curve(_predictions(s, d)).select("bucket", statistics.bucket_label(F.col("bucket")).alias("label"), "n"),

@@ -143,3 +143,45 @@ def model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name, seq): a qualified table for every other part's table of a model."""
     name = F.lower(F.concat(F.initcap(F.split("p_name", " ")[0]), F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit(""))))
     return table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("table:"), F.lower(F.split("p_type", " ")[0]), F.lit("."), name).alias("id"), name.alias("name"), F.col("p_partkey").alias("seq"))
+
+
+#: language -> (extension, first line, function headers by order number, lines by part and line number with what extraction
+#: has to find in them): `b`, `b_y` are tables, `m` the model's, `?` a call that can't be resolved; nothing for what only
+#: looks like a reference. (The patterns don't pair quotes: a comment with a whole statement right after a literal would count.)
+FORMS = {
+    "python": ("py", "import db", ("def order_{o}(self):", "async def order_{o}(self, a):", "    def order_{o}(a): pass"), (
+        ("    {m}.objects.filter(id=1)", "m"), ("    x = {m}.objects.bulk_create(rows)", "m"), ("    {m}.objects.first()", ""), ("    session.query({m}).all()", "m"), ("    y = select({m}, other)", "m"),
+        ('    run("""SELECT id\n      FROM shop.{b} JOIN {b}_y ON 1""")', "b b_y"), ('    run("insert into {b} (a) values (1)")', "b"), ("    run('UPDATE {b}\n      SET a = 1')", "b"), ("    run('DELETE FROM {b}')", "b"),
+        ("    # nothing from {b} here", ""), ("    cursor.execute(statement, [1])", "?"), ("    db.raw(statement)", "?"), ("    cursor.execute(f(statement))", ""), ("    {w}.objects.all()", ""),
+    )),
+    "javascript": ("js", "// nothing", ("async function order_{o}(id) {", "export const order_{o} = async (id, x) => {", "  async order_{o}(id) {"), (
+        ("  await knex('{b}').where(1)", "b"), ("  return prisma.{w}.findMany({ take: 1 })", "p"), ("  {m}.findAll()", "p"), ("  Promise.create(x)", ""), ("  {m}.list()", ""),
+        ('  client.query("SELECT id FROM shop.{b}")', "b"), ("  db.raw('delete from {b}')", "b"), ("  const q = `SELECT id\n    FROM {b}\n    JOIN {b}_y ON 1`", "b b_y"), ("  say('nothing from {b}')", ""), ("  client.query(statement, [1])", "?"), ("  db.execute(statement)", "?"), ("  client.query(build(statement))", ""),
+    )),
+    "go": ("go", "package main", ("func order_{o}(c Ctx) error {", "func (s *Store) order_{o}(c Ctx) {"), (
+        ('  db.Table("{b}").Find(x)', "b"), ("  db.First(&{m}{})", "m"), ("  tx.Create(&models.{m}{})", "m"), ("  db.Count(&{m}{})", ""), ("  rows := run(`SELECT id\n    FROM {b}\n    WHERE a = 1`)", "b"), ('  run("UPDATE {b} SET a = 1")', "b"), ("  // nothing from {b}", ""), ("  run(statement)", ""),
+    )),
+    "java": ("java", "class Orders {", ("  public List<Row> order_{o}(long id) {", "  private static final Row[] order_{o}(long id) throws Oops {"), (
+        ('    @Query("SELECT x FROM {b} x")', "b b"), ('    @Query(value = "from {b}_y y")', "b_y"), ('    em.createNativeQuery("DELETE FROM shop.{b} WHERE id = 1");', "b"), ('    run("insert into {b} values (1)");', "b"), ("    load({m}.class);", ""), ("    run(statement);", ""), ('    say("nothing from {b}");', ""),
+    )),
+    "ruby": ("rb", "class Orders", ("  def order_{o}", "  def order_{o}?(x)"), (
+        ("    {m}.where(id: 1)", "m"), ("    {m}.find_by id: 1", "m"), ("    {m}.create!(a)", "m"), ("    {m}.first", ""), ("    File.create(x)", ""), ('    run("SELECT id FROM {b}\n      WHERE a = 1")', "b"), ("    run('UPDATE {b} SET a = 1')", "b"), ("    # nothing from {b}", ""), ("    run statement", ""),
+    )),
+    "php": ("php", "<?php", ("  public function order_{o}($id) {", "  private static function order_{o}() {", "function order_{o}($a, $b) {"), (
+        ("    DB::table('{b}')->get();", "b"), ("    {m}::where('id', 1);", "m"), ("    {m}::findOrFail(1);", "m"), ("    {m}::count();", ""), ("    Route::all(1);", ""), ('    run("SELECT id FROM shop.{b}");', "b"), ("    run('insert into {b} (a) values (1)');", "b"), ("    run($statement);", ""), ("    say('nothing from {b}');", ""),
+    )),
+}
+
+
+def form_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """files(path, content) in a language, whose functions hold every kind of line that its patterns find or have to leave."""
+    extension, first, headers, forms = FORMS[language]
+    brand, words = F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.split("p_name", " ")
+    part = table(spark, sf_dir, "part").select("p_partkey", brand.alias("b"), F.lower(words[1]).alias("w"), F.initcap(words[1]).alias("m"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_partkey") + F.col("l_linenumber")).alias("n"), "l_linenumber").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    shown = _chosen("n", tuple(text for text, _ in forms), b="b", w="w", m="m")
+    held = lines.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", shown.alias("line")))), lambda x: x["line"]).alias("lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    body = F.concat_ws("\n", _chosen("o_orderkey", headers, o="o_orderkey"), F.coalesce("lines", F.array().cast("array<string>")))
+    files = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", body.alias("body")))).alias("x"))
+    return files.select(F.concat(F.lit("src/f"), F.col("o_custkey").cast("string"), F.lit(f".{extension}")).alias("path"), F.concat_ws("\n", F.lit(first), F.transform("x", lambda x: x["body"])).alias("content"))
