@@ -1,9 +1,10 @@
 """License scan with a positional index of rare words.
 
 A license notice is recognised by a template. The two words of each template's mandatory key phrase with the highest
-inverse document frequency (over all files) are its postings. All words of a file are looked up in them; where both
-words agree on the place of the template relative to the file, the whole key phrase must stand there. A key phrase that
-stands has both of its rare words, so no notice is lost, however many a file holds. All of that happens within a file's
+inverse document frequency (over all files) are its postings. A file's words that have postings are looked up, which
+selects templates and the places where they would begin; where both words agree on such a place, the whole key phrase
+must stand there. A file with a key phrase has its two rarest words, and these are the file's rarest of that template, so
+no notice is lost, however many a file holds. All of that happens within a file's
 row, in DataFrame functions; only the document frequencies of the key phrases' few words are aggregated.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. Null and empty texts have no words and no
@@ -91,12 +92,16 @@ def _notices() -> Column:
 
 def _postings(frequency: dict[str, int]) -> Column:
     """word -> (template, place of the word in it) for the rarest words of each key phrase, as one literal map."""
-    held: dict[str, list[Column]] = {}
+    return F.create_map(*[x for word, places in _rare_places(frequency).items() for x in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in places]))])
+
+
+def _rare_places(frequency: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+    held: dict[str, list[tuple[int, int]]] = {}
     for t, (_, notice, key) in enumerate(TEMPLATES):
         need, begin = key.split(), _key_at(notice, key)
         for i in sorted(range(len(need)), key=lambda i: (frequency.get(need[i], 0), need[i]))[:RARE_WORDS]:
-            held.setdefault(need[i], []).append(F.struct(F.lit(t).alias("t"), F.lit(begin + i).alias("at")))
-    return F.create_map(*[x for word, places in held.items() for x in (F.lit(word), F.array(*places))])
+            held.setdefault(need[i], []).append((t, begin + i))
+    return held
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
@@ -112,15 +117,14 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
         labels.append(F.when(stands, F.lit(label)))
     rows = rows.withColumn("places", F.concat(*places)).withColumn("base", F.array_compact(F.array(*labels)))
 
-    # Only files that hold some mandatory phrase can match: where the templates would begin by each rare word.
-    keys = sorted({key for _, _, key in TEMPLATES})
-    has_key = F.exists(F.array(*map(F.lit, keys)), lambda k: F.contains(F.col("line"), F.concat(F.lit(" "), k, F.lit(" "))))
+    # The index selects: the places of rare words, and where each of their templates would begin by them.
     postings, nothing = _postings(frequency), F.array().cast("array<struct<t:int,shift:int>>")
+    rows = rows.withColumn("rare", F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(*sorted(_rare_places(frequency))), i))))
 
-    def begins(w: Column, i: Column) -> Column:
-        return F.coalesce(F.transform(F.try_element_at(postings, w), lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("shift"))), nothing)
+    def begins(i: Column) -> Column:
+        return F.transform(F.try_element_at(postings, F.get("w", i)), lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("shift")))
 
-    rows = rows.withColumn("hits", F.when(has_key, F.sort_array(F.flatten(F.transform("w", begins)))).otherwise(nothing))
+    rows = rows.withColumn("hits", F.when(F.size("rare") >= RARE_WORDS, F.sort_array(F.flatten(F.transform("rare", begins)))).otherwise(nothing))
     # Sorted, beginnings on which two words agree are neighbours.
     following = F.slice("hits", 2, F.greatest(F.size("hits") - 1, F.lit(0)))
     rows = rows.withColumn("agreed", F.array_distinct(F.array_compact(F.zip_with("hits", following, lambda a, b: F.when(a == b, a)))))
