@@ -95,9 +95,11 @@ def change_impact(changed: DataFrame, nodes: DataFrame, edges: DataFrame, texts:
 
 def impact_summary(reached: DataFrame, nodes: DataFrame, high: int = 5) -> DataFrame:
     """Per root of a blast radius: impacted nodes by kind, deepest hop, and whether it is high risk."""
-    reached = cut(reached.select("root", "node", "depth"))
-    own = nodes.select(F.col("id").alias("node"), "type").join(small(cut(reached.select("node").distinct())), "node", "left_semi")
-    kinds = reached.join(own, "node", "left")
+    reached = reached.select("root", "node", "depth")
     count = lambda c: F.sum(F.when(F.expr(c), 1).otherwise(0)).cast("long")
-    out = kinds.groupBy("root").agg(F.count("*").alias("total"), count("type = 'function'").alias("functions"), count("type = 'file'").alias("files"), count("type in ('table', 'view', 'partition')").alias("tables"), F.max("depth").cast("long").alias("deepest"))
+    every = reached.groupBy("root").agg(F.count("*").alias("total"), F.max("depth").cast("long").alias("deepest"))
+    known = reached.join(nodes.select(F.col("id").alias("node"), "type"), "node")  # the smaller side is found at run time
+    kinds = known.groupBy("root").agg(count("type = 'function'").alias("functions"), count("type = 'file'").alias("files"), count("type in ('table', 'view', 'partition')").alias("tables"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = every.join(kinds, "root", "left").select("root", "total", none("functions"), none("files"), none("tables"), "deepest")
     return out.withColumn("high_risk", F.col("total") >= high)

@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.names import bare_name, clean_id
 from ..plans.lineage import cut, small
-from ..schema import DYNAMIC, ORM_CALL, STATIC_SQL, STRUCTURAL, UNRESOLVED_ID, UNRESOLVED_NAME
+from ..schema import DYNAMIC, EDGE_TYPES, ORM_CALL, STATIC_SQL, STRUCTURAL, UNRESOLVED_ID, UNRESOLVED_NAME
 
 
 def propagation(edges: DataFrame) -> DataFrame:
     """prop(u, v, c4, type, seq): what a change of u reaches directly.
 
     All edges are reversed but the structural ones. Of parallel edges the most confident counts (the first on a tie),
-    at the position of the first.
+    at the position of the first. What is aggregated are numbers of fixed width, the type as its place among EDGE_TYPES
+    (others are `unknown`), so that Spark hashes instead of sorting all edges by two texts.
     """
     structural = F.col("type") == STRUCTURAL
     ends = edges.select(
         F.when(structural, F.col("source")).otherwise(F.col("target")).alias("u"), F.when(structural, F.col("target")).otherwise(F.col("source")).alias("v"), "c4", "type", "seq",
     )
-    best = F.max_by(F.struct("c4", "type"), F.struct("c4", -F.col("seq"))).alias("b")
-    return ends.groupBy("u", "v").agg(best, F.min("seq").alias("seq")).select("u", "v", "b.c4", "b.type", "seq")
+    order = F.expr("cast(c4 as decimal(10,0)) * 10000000000000000000 - seq")
+    code = F.array_position(F.array(*map(F.lit, EDGE_TYPES)), F.col("type")).cast("int")
+    best = ends.groupBy("u", "v").agg(F.max("c4").alias("c4"), F.max_by(code, order).alias("code"), F.min("seq").alias("seq"))
+    return best.select("u", "v", "c4", F.element_at(F.array(F.lit("unknown"), *map(F.lit, EDGE_TYPES)), F.col("code") + 1).alias("type"), "seq")
 
 
 def blast_radius(prop: DataFrame, roots: DataFrame, max_depth: int = 2, least_c4: int = 0) -> DataFrame:
@@ -29,18 +32,22 @@ def blast_radius(prop: DataFrame, roots: DataFrame, max_depth: int = 2, least_c4
 
     The confidence of a path is the product of its edges', rounded to ten-thousandths at each hop; of all paths to a
     node the most confident counts, then the shortest, then the first found. Layers are joined one after the other and
-    a node goes on only where it beats what earlier layers found; each layer is checkpointed. No path meets a node twice.
-    Each layer reads only the edges of its own nodes: as these are grouping keys of propagation(), Spark filters the edges
-    by them before it collapses parallel ones.
+    a node goes on only where it beats what earlier layers found; each layer is written. No path meets a node twice.
+    The collapsed edges are written once and read by each layer. For a single hop they are not: there the roots filter the
+    edges before parallel ones are collapsed, as they are grouping keys of propagation().
     """
     kind = "array<string>"
     layer = roots.select("root", F.col("root").alias("node"), F.lit(10000).cast("long").alias("c4"), F.array("root").alias("path"), F.array().cast("array<long>").alias("seqs"), F.array().cast(kind).alias("types"))
     best, found = None, None
     step = prop.withColumnRenamed("c4", "w4").withColumnRenamed("type", "step")
+    if max_depth > 1:
+        step = cut(step)
+    else:
+        step = step.join(small(cut(roots.select(F.col("root").alias("u")).distinct())), "u", "left_semi")
     for depth in range(1, max_depth + 1):
         c4 = F.expr("(c4 * w4 + 5000) div 10000")
-        ahead = small(cut(layer.select(F.col("node").alias("u")).distinct()))
-        reached = layer.join(step.join(ahead, "u", "left_semi"), F.col("node") == F.col("u")).where(~F.array_contains("path", F.col("v")))
+        ahead = layer if depth == 1 else small(layer)
+        reached = ahead.join(step, F.col("node") == F.col("u")).where(~F.array_contains("path", F.col("v")))
         reached = reached.select("root", F.col("v").alias("node"), c4.cast("long").alias("c4"), F.concat("path", F.array("v")).alias("path"), F.concat("seqs", F.array("seq")).alias("seqs"), F.concat("types", F.array("step")).alias("types"))
         reached = reached.where(F.col("c4") >= least_c4)
         # The first in order of (-c4, seqs): a minimum, so that it is combined before the shuffle.
@@ -49,6 +56,8 @@ def blast_radius(prop: DataFrame, roots: DataFrame, max_depth: int = 2, least_c4
         if best is not None:
             layer = layer.join(best, ["root", "node"], "left").where("before is null or c4 > before").drop("before")
         layer = cut(layer)
+        if max_depth == 1:  # a node has one row
+            return layer.select("root", "node", "c4", F.lit(1).alias("depth"), "types", "path")
         here = layer.withColumn("depth", F.lit(depth))
         found = here if found is None else found.unionByName(here)
         if depth < max_depth:
