@@ -211,3 +211,66 @@ def test_pipeline_keys(spark, tmp_path):
     spark.createDataFrame([(1, "nothing that stands in the texts above this line of words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.drop_benchmark_text(spark, read.union(read), str(tmp_path)).count() == 18
     assert pipeline.keep_one_of_each(spark, read.union(read), str(tmp_path)).count() == 4 + 2  # four texts, and rows without one
+
+
+def test_secret_look_alikes():
+    """Precision and recall on fresh rows, and on numbers and codes that are as long as keys."""
+    import numpy as np
+
+    from radiograph.llm import secrets
+
+    network = secrets.trained(secrets.labelled_table() + secrets.path_table())
+
+    def hit(rows):
+        found = secrets.all_findings([a + b + c for a, b, c, _ in rows], network)
+        return [any(s < len(a) + len(b) and e > len(a) for s, e, _ in spans) for (a, b, _, _), spans in zip(rows, found, strict=True)]
+
+    fresh = secrets.labelled_table(1000, seed=321)
+    told, hits = np.array([y for *_, y in fresh], bool), np.array(hit(fresh))
+    own = np.array([not secrets.base_findings("".join(x[:3])) for x in fresh])  # what base patterns match is no matter of the network
+    assert hits[told].mean() >= 0.97 and told[hits & own].mean() >= 0.99
+    r = np.random.default_rng(8)
+    like = [("some words at ", maker(), " and more words", 0) for maker in secrets.numbers_and_codes(r) for _ in range(50)]
+    like += [("the book ", f"ISBN{r.integers(100, 999)}-{r.integers(100, 999)}-{r.integers(100, 999)}", " is", 0) for _ in range(100)]
+    others = [x for x in like if not secrets.base_findings("".join(x[:3]))]  # long runs of digits are hexadecimal to the base
+    assert np.mean(hit(others)) <= 0.01
+
+
+def test_language_kernel_by_brute_force():
+    """Kernel values, landmarks, weights and scores of the batched products against sets and one dense solution."""
+    import numpy as np
+    import pyarrow as pa
+
+    from radiograph.llm import language
+    from radiograph.llm.common import text_bytes
+
+    texts = ["The cat and the dog", "the dog ate", "ein Hund und eine Katze", "der Hund", "une chatte et un chien", "le chien", "THE END of it", "ab", "", "ü"] * 2
+    names = ["en", "en", "de", "de", "fr", "fr", "en", "de", "fr", "de"] * 2
+
+    def grams(text):
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        out = set()
+        for n in range(1, 5):
+            for i in range(len(data) - n + 1):
+                code = 0
+                for b in data[i : i + n]:
+                    code = (code * 257 + b + 1) % 2**32
+                out.add((code * int(language._FACTORS[n - 1]) % 2**32) >> 16)
+        return out
+
+    data, offsets = text_bytes(pa.array(texts))
+    places, sizes = language.present(data, offsets)
+    ends = np.cumsum(sizes)
+    rows = [places[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    assert [set(x.tolist()) for x in rows] == [grams(t) for t in texts]
+    model = language.trained(rows, names)
+    marks = [i for known in ("de", "en", "fr") for i, n in enumerate(names) if n == known][: len(model.sizes)]
+    kernel = np.array([[len(grams(a) & grams(texts[j])) / np.sqrt(max(len(grams(a)), 1) * max(len(grams(texts[j])), 1)) for j in marks] for a in texts])
+    np.testing.assert_allclose(model.kernel(places, sizes), kernel, atol=1e-5)
+    values, vectors = np.linalg.eigh(kernel[marks])
+    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
+    features, goal = kernel @ root, np.array([[1.0 if n == k else -1.0 for k in model.languages] for n in names])
+    weight = np.array([len(names) / (names.count(n) * 3) for n in names])[:, None]
+    wanted = features @ np.linalg.solve(features.T @ (features * weight) + language.RIDGE * len(names) * np.eye(root.shape[1]), features.T @ (goal * weight))
+    np.testing.assert_allclose(model.scores(data, offsets), wanted, atol=0.02)
+    assert [model.languages[k] for k in model.scores(data, offsets).argmax(1)][:8] == names[:8]
