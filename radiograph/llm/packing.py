@@ -385,7 +385,8 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     if not len(table):
         return cut.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     places = spark.createDataFrame(table)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # A row is salted by its place in the written table: rows of one id, null ids and repeated rows are dealt like any others.
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(salts)))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = groups.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
