@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass handles; bounds the memory of a worker whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 18
 BATCH_BYTES = 8 << 20
+#: Rows that Spark's Parquet reader holds at once: with Spark's 4,096, long texts take arrays of tens of MB in each task.
+READ_ROWS = 512
 #: Rows of narrow tables up to which they are sent to all executors instead of shuffled; `bounded` counts them.
 BROADCAST_ROWS = 500_000
 
@@ -49,10 +51,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what Spark hands to a Python worker at once by BATCH_BYTES, where the session allows more."""
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(setting, str(BATCH_BYTES + 1)).removesuffix("b")) > BATCH_BYTES:
-        spark.conf.set(setting, str(BATCH_BYTES))
+    """Bound what Spark hands to a Python worker at once by BATCH_BYTES, and what it reads at once by READ_ROWS, where the session allows more."""
+    for setting, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if int(spark.conf.get(setting, str(most + 1)).removesuffix("b")) > most:
+            spark.conf.set(setting, str(most))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, small_batches, written
 
 CAPACITY = 2048
-#: Distinct words whose ids a task remembers; when it has so many, it begins anew and keeps these as the older ones.
-CACHED_WORDS = 250_000
+#: Words met again whose ids a task remembers; when it has so many, it begins anew and keeps these as the older ones.
+CACHED_WORDS = 100_000
+#: Bytes that tell, by hash, which words a task has met: most words of a large corpus stand in it once and aren't kept.
+MET_PLACES = 1 << 20
 #: How far below the best value each step and the whole of a bought configuration may be, and configurations tried before the knapsack is solved anew.
 TOLERANCE, CLOSE, COLUMNS = 2e-3, 1e-2, 64
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -51,6 +53,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.met = bytearray(MET_PLACES)
         self.byte_letters = _byte_letters()
 
     def _encoded(self, text: str) -> bytes:
@@ -86,7 +89,8 @@ class WordTokenizer:
         return b"".join(self._looked_up(words[i : i + CACHED_WORDS], lowered) for i in range(0, len(words), CACHED_WORDS))
 
     def _looked_up(self, words: list[str], lowered: bool) -> bytes:
-        known, older, tokenize = self.known, self.older, self.tokenizer.model.tokenize
+        known, older, met, tokenize = self.known, self.older, self.met, self.tokenizer.model.tokenize
+        once: dict[str, bytes] = {}
         for word in set(words).difference(known):
             ids = older.get(word)
             if ids is None:
@@ -96,10 +100,15 @@ class WordTokenizer:
                     ids = array("I", [t.id for t in tokenize(word)]).tobytes()
                 else:
                     ids = self._word(word)
+                place = hash(word) % MET_PLACES
+                if not met[place]:
+                    met[place] = 1
+                    once[word] = ids
+                    continue
             known[word] = ids
-        found = b"".join(map(known.__getitem__, words))
+        found = b"".join([once[w] if w in once else known[w] for w in words] if once else map(known.__getitem__, words))
         if len(known) > CACHED_WORDS:
-            self.known, self.older = {}, known
+            self.known, self.older, self.met = {}, known, bytearray(MET_PLACES)
         return found
 
 
