@@ -156,10 +156,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., 2014) as joins and minima until nothing changes, in a
     number of rounds that grows with the logarithm of the longest path; it raises if `most_rounds` don't suffice. A node
     with very many neighbours is never gathered: minima are combined before the shuffle. They are sent to all executors
-    while the edges are at most BROADCAST_ROWS; beyond that they are checkpointed before they are joined, so that Spark
-    can split such a node's rows over tasks.
+    while the edges are at most half of BROADCAST_ROWS, and what is shuffled then is read by one task for each core, since
+    hundreds of tasks with a few rows each cost an executor a page of memory apiece, every round; beyond that they are
+    checkpointed before they are joined, so that Spark can split such a node's rows over tasks.
     """
     shared_folder(edges.sparkSession)
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     stars = (
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
@@ -167,14 +169,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     before = (stars.count(),)
     for _ in range(most_rounds):
         few = before[0] <= BROADCAST_ROWS // 2  # a round doesn't add edges; an edge has two nodes
+        stars = stars.coalesce(cores) if few else stars
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(F.broadcast(least) if few else least.checkpoint(), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large if few else large.checkpoint()
+        large = both.where("b > a").join(F.broadcast(least.coalesce(cores)) if few else least.checkpoint(), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = large.coalesce(cores) if few else large.checkpoint()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = down if few else down.checkpoint()
+        down = down.coalesce(cores) if few else down.checkpoint()
         small = large.join(F.broadcast(down) if few else down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("a", "m")).distinct()
-        stars = small.checkpoint()
+        stars = (small.coalesce(cores) if few else small).checkpoint()
         now = tuple(stars.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
