@@ -7,15 +7,40 @@ declare nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import naive_plural
 
-#: Marks of a comma and of parentheses at the first level, and of a statement's end.
-_COMMA, _OPEN, _CLOSE, _END = "\x01", "\x02", "\x03", "\x04"
-#: Literals, quoted names and bodies, the characters that divide statements, and what lies between.
-TOKEN = r"""'[^']*+(?:''[^']*+)*+'|"[^"]*+"|`[^`]*+`|\$(\w*)\$[\s\S]*?\$\1\$|[(),;]|[^(),;'"`$]++|['"`$]"""
+#: Marks of a comma and of the parentheses at the first level.
+_COMMA, _OPEN, _CLOSE = "\x01", "\x02", "\x03"
+#: Nested parentheses that a pattern follows within the items of a statement; deeper ones are counted by a fold.
+LEVELS = 12
+
+
+def _run(stops: str, name: str, nested: str = "") -> str:
+    """A token that isn't among `stops`: what lies between, literals, quoted names and bodies whole, a quote without its end."""
+    quoted = rf"""'[^']*+(?:''[^']*+)*+'|"[^"]*+"|`[^`]*+`|\$(?<{name}>\w*)\$[\s\S]*?\$\k<{name}>\$"""
+    return rf"""(?:[^{stops}'"`$]+|{quoted}|['"`$]{"|" + nested if nested else ""})"""
+
+
+def _nested(levels: int) -> str:
+    """Balanced parentheses of up to so many levels."""
+    out = ""
+    for i in range(levels):
+        out = rf"\({_run('()', f'q{i}', out)}*+\)"
+    return out
+
+
+# Every run of tokens is possessive, so that a text is read once.
+STATEMENT = _run(";", "q") + "++"
+HEAD = r"\A" + _run("(", "q") + "*+"
+BODY = rf"\A{_run('(', 'head')}*+\(({_run('()', 'body', _nested(LEVELS))}*+)\)"  # its second group
+ITEM = _run("(),", "item", _nested(LEVELS)) + "++"
+TOKEN = rf"[(),]|{_run('(),', 'q')}++"
 CREATE_TABLE = r"(?i)\bcreate\s+(?:unlogged\s+|temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)\s*\z"
 CREATE_PARTITION = r"(?i)\bcreate\s+(?:unlogged\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)\s+partition\s+of\s+([\w.\"`]+)"
 CREATE_VIEW = r"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:materialized\s+)?view\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)"
@@ -37,7 +62,7 @@ def _pairs(text: Column, pattern: str, *groups: int) -> Column:
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def _plain(name: Column, qualified: bool) -> Column:
@@ -57,57 +82,74 @@ def _exploded_keys(rows: DataFrame, qualified: bool) -> DataFrame:
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """(path, place, head, items, tail) of each statement of files(path, content): what stands before its first parenthesis, in it, and after.
+    """(path, place, statement) of each statement of files(path, content).
 
-    A fold over the tokens counts the depth of parentheses, whatever it is, and marks those of the first level, the commas
-    in them and the ends of statements; the text is then divided at the marks. Literals, quoted names and quoted bodies are single tokens; comments don't count.
+    Literals, quoted names and quoted bodies are single tokens, in which nothing ends a statement; comments don't count.
+    """
+    rows = files.select("path", F.coalesce("content", F.lit("")).alias("text"))
+    for marks, pattern in ((("/*",), r"/\*[\s\S]*?\*/"), (("--",), r"--[^\n]*"), (("\x01", "\x02", "\x03", "\x04"), r"[\x01-\x04]")):
+        held = reduce(or_, [F.contains("text", F.lit(m)) for m in marks])
+        rows = rows.select("path", F.when(held, F.regexp_replace("text", pattern, "")).otherwise(F.col("text")).alias("text"))
+    return rows.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(STATEMENT), F.lit(0))).alias("place", "statement"))
+
+
+def _head(statement: str) -> Column:
+    """What stands before a statement's first parenthesis."""
+    return F.regexp_extract(statement, HEAD, 0)
+
+
+def _counted(statement: str) -> Column:
+    """What a statement's first parentheses hold, divided at their commas, whatever their depth is and whether or not they are closed.
+
+    A fold over the tokens counts the depth and marks the first level. It copies what it has read for each token, so it is
+    left to what patterns don't follow.
     """
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), r"/\*[\s\S]*?\*/", ""), r"--[^\n]*", "")
-    tokens = F.regexp_extract_all(F.translate(text, _COMMA + _OPEN + _CLOSE + _END, ""), F.lit(TOKEN), F.lit(0))
 
     def step(s: Column, t: Column) -> Column:
         depth = s["depth"]
-        deeper = F.when(t == "(", depth + 1).when(t == ")", F.greatest(depth - 1, F.lit(0))).when(t == ";", 0).otherwise(depth)
-        mark = F.when(depth > 1, F.when(t == ";", _END).otherwise(t)).when(t == ";", _END).when((t == "(") & (depth == 0), _OPEN).when((t == ")") & (depth == 1), _CLOSE).when((t == ",") & (depth == 1), _COMMA).otherwise(t)
+        deeper = F.when(t == "(", depth + 1).when(t == ")", F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+        mark = F.when(depth > 1, t).when((t == "(") & (depth == 0), _OPEN).when((t == ")") & (depth == 1), _CLOSE).when((t == ",") & (depth == 1), _COMMA).otherwise(t)
         return F.struct(deeper.alias("depth"), F.concat(s["text"], mark).alias("text"))
 
-    marked = F.aggregate(tokens, F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step, lambda s: s["text"])
-    each = files.select("path", F.posexplode(F.split(marked, _END)).alias("place", "s"))
-    head, rest = F.substring_index("s", _OPEN, 1), F.when(F.contains("s", F.lit(_OPEN)), F.substring("s", F.length(F.substring_index("s", _OPEN, 1)) + 2, F.length("s")))
-    inside = F.substring_index(rest, _CLOSE, 1)
-    tail = F.translate(F.substring(rest, F.length(inside) + 2, F.length(rest)), _COMMA + _OPEN + _CLOSE, ",()")
-    items = F.when(rest.isNotNull(), F.split(inside, _COMMA)).otherwise(F.array().cast("array<string>"))
-    return each.where("trim(s) <> ''").select("path", "place", head.alias("head"), items.alias("items"), F.coalesce(tail, F.lit("")).alias("tail"))
+    def parts(s: Column) -> Column:
+        rest = F.substring(s["text"], F.length(F.substring_index(s["text"], _OPEN, 1)) + 2, F.length(s["text"]))
+        return F.split(F.substring_index(rest, _CLOSE, 1), _COMMA)
+
+    return F.aggregate(F.regexp_extract_all(statement, F.lit(TOKEN), F.lit(0)), F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step, parts)
 
 
 def ddl_objects(files: DataFrame, qualified: bool = False) -> DataFrame:
     """(path, name, kind, parent): the tables, partitions (with their parent) and views that statements create; a name's first statement counts."""
-    view, part, parent, table = (F.regexp_extract("head", p, g) for p, g in ((CREATE_VIEW, 1), (CREATE_PARTITION, 1), (CREATE_PARTITION, 2), (CREATE_TABLE, 1)))
-    kind = F.when(view != "", "view").when(part != "", "partition").when(table != "", "table")
-    name = F.when(view != "", view).when(part != "", part).otherwise(table)
-    named = statements(files).select("path", "place", kind.alias("kind"), _plain(name, qualified).alias("name"), F.when(parent != "", _plain(parent, qualified)).alias("parent")).where("kind is not null")
+    found = lambda kind, pattern, parent: F.array(F.struct(F.lit(kind).alias("kind"), _plain(F.regexp_extract("head", pattern, 1), qualified).alias("name"), parent.alias("parent")))
+    parent, none = _plain(F.regexp_extract("head", CREATE_PARTITION, 2), qualified), F.lit(None).cast("string")
+    kinds = F.when(F.col("head").rlike(CREATE_VIEW), found("view", CREATE_VIEW, none)).when(F.col("head").rlike(CREATE_PARTITION), found("partition", CREATE_PARTITION, parent)).when(F.col("head").rlike(CREATE_TABLE), found("table", CREATE_TABLE, none))
+    named = statements(files).select("path", "place", _head("statement").alias("head")).select("path", "place", F.inline(kinds))
     return named.groupBy("path", "name").agg(F.min(F.struct("place", "kind", "parent")).alias("b")).select("path", "name", "b.kind", "b.parent")
 
 
 def _items(files: DataFrame, qualified: bool) -> DataFrame:
     """(path, table, primary, item, added): the items of every CREATE TABLE, with its primary key's columns, and every ALTER TABLE that adds a key, whole."""
-    created, whole = F.regexp_extract("head", CREATE_TABLE, 1), F.concat("head", F.when(F.size("items") > 0, F.concat(F.lit("("), F.array_join("items", ","), F.lit(")"))).otherwise(""), "tail")
-    rows = statements(files).select("path", created.alias("table"), F.transform("items", lambda i: _trimmed(i)).alias("items"), whole.alias("whole"))
-    added = (F.col("table") == "") & F.col("whole").rlike(ADD_KEY)
-    rows = rows.withColumn("added", added).where("table <> '' or added")
-    primary = F.flatten(F.transform("items", lambda i: F.when(i.rlike(PRIMARY), _names(F.regexp_extract(i, PRIMARY, 1))).otherwise(F.array().cast("array<string>"))))
-    name = F.when(F.col("added"), F.regexp_extract("whole", ADD_KEY, 1)).otherwise(F.col("table"))
-    return rows.select("path", _plain(name, qualified).alias("table"), F.when(F.col("added"), F.array().cast("array<string>")).otherwise(primary).alias("primary"), "added", F.explode(F.when(F.col("added"), F.array("whole")).otherwise(F.col("items"))).alias("item"))
+    created = statements(files).select("path", F.regexp_extract(_head("statement"), CREATE_TABLE, 1).alias("created"), "statement")
+    body = created.select("path", "created", "statement", F.when(F.col("created") != "", F.regexp_extract("statement", BODY, 2)).alias("body"))
+    divided = F.when(F.col("body") != "", F.regexp_extract_all("body", F.lit(ITEM), F.lit(0))).otherwise(_counted("statement"))
+    items = F.when(F.col("created") != "", F.transform(divided, _trimmed)).when(F.col("statement").rlike(ADD_KEY), F.array("statement"))
+    name = F.when(F.col("created") != "", F.col("created")).otherwise(F.regexp_extract("statement", ADD_KEY, 1))
+    rows = body.select("path", "created", _plain(name, qualified).alias("table"), items.alias("items"))
+    added, nothing = F.col("created") == "", F.array().cast("array<string>")
+    primary = F.flatten(F.transform("items", lambda i: F.when(i.rlike(PRIMARY), _names(F.regexp_extract(i, PRIMARY, 1))).otherwise(nothing)))
+    # An outer explode, as from an inner one Spark infers a filter that would make all items twice.
+    return rows.select("path", "table", F.when(added, nothing).otherwise(primary).alias("primary"), added.alias("added"), F.explode_outer("items").alias("item")).where("item is not null")
 
 
 def _keys(items: DataFrame) -> DataFrame:
     """(path, table, constraint, apart, own, target, theirs): keys of columns, and those that stand apart from them, with lists of columns as they are written."""
     at = lambda pattern, group: F.regexp_extract("item", pattern, group)
     added, listed, inline = F.col("added"), F.col("item").rlike(TABLE_KEY), _is_column() & F.col("item").rlike(COLUMN_KEY)
-    chosen = lambda a, b, c: F.when(added, a).when(listed, b).otherwise(c)
+    held = items.where(added | listed | inline).withColumn("listed", listed)
+    chosen = lambda a, b, c: F.when(added, a).when(F.col("listed"), b).otherwise(c)
     named = chosen(at(r"(?i)\badd\s+constraint\s+([\w\"`]+)\s", 1), at(NAMED, 1), F.lit(""))
     parts = [chosen(at(ADD_KEY, 2), at(TABLE_KEY, 1), _column_name()), chosen(at(ADD_KEY, 3), at(TABLE_KEY, 2), at(COLUMN_KEY, 1)), chosen(at(ADD_KEY, 4), at(TABLE_KEY, 3), at(COLUMN_KEY, 2))]
-    return items.where(added | listed | inline).select("path", "table", named.alias("constraint"), (added | listed).alias("apart"), *[c.alias(n) for c, n in zip(parts, ("own", "target", "theirs"), strict=True)])
+    return held.select("path", "table", named.alias("constraint"), (added | F.col("listed")).alias("apart"), *[c.alias(n) for c, n in zip(parts, ("own", "target", "theirs"), strict=True)])
 
 
 def _is_column() -> Column:

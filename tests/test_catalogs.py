@@ -60,3 +60,22 @@ def test_ddl(spark):
     assert columns == {("b", "id"): ("int", True, False), ("b", "x"): ("numeric(8,2)", False, True), ("b", "note"): ("text", False, False), ("b", "y"): ("int", False, True), ("last", "z"): ("int[]", False, True)}
     keys = {(r["constraint"], tuple(r["columns"]), r["target"], tuple(r["target_columns"])) for r in schemas.ddl_constraints(files).collect()}
     assert keys == {("pair", ("id", "x"), "e", ("f", "g")), ("fk_b_h", ("y",), "h", ("i",)), ("fk_b_y", ("y",), "d", ("id",)), ("later", ("x",), "e", ("f",))}
+
+
+def test_long_schema_is_read_once(spark):
+    """A statement that doesn't end before thousands of others is read in a time that grows with its length, as are nested ones beyond the patterns."""
+    import time
+
+    one = "CREATE TABLE t{i} (id int primary key, a numeric(8,2) default ((1)), note text default 'x; (', b int references t0 (id));\n"
+    text = "".join(one.replace("{i}", str(i)) for i in range(20000))
+    files = spark.createDataFrame([("a", text)], "path string, content string")
+    began = time.time()
+    assert schemas.ddl_objects(files).count() == 20000 and schemas.ddl(files)[0].count() == 80000 and schemas.ddl_constraints(files).count() == 20000
+    assert time.time() - began < 60
+
+
+def test_deep_and_unclosed(spark):
+    deep = "(" * 40 + "1, 2" + ")" * 40
+    text = f"create table a (x int default {deep}, y text check ({deep}), primary key (y)); create table b (id int, z text"
+    files = spark.createDataFrame([("a", text)], "path string, content string")
+    assert {(r["table"], r["column"], r["primary_key"]) for r in schemas.ddl(files)[0].collect()} == {("a", "x", False), ("a", "y", True), ("b", "id", False), ("b", "z", False)}
