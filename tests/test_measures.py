@@ -92,3 +92,19 @@ def test_second_dialect(spark):
     got = {r["node"]: (r["type"], r["name"], r["listed"]) for r in graph.named_ends(reached, nodes, edges).collect()}
     assert got == {"f": ("function", "F", "functions"), "p": ("partition", "P", None), "x": ("file", "x", "files"), "y": ("file", "y", "files")}
     assert tuple(graph.tree_counts(nodes, edges).first()) == (3, 4, 0, 0) and graph.tree_counts(nodes, edges.limit(0)).first()["dynamic_tenths"] == 0
+
+
+def test_sample_in_passes(spark, monkeypatch):
+    """However many passes there are, and whether or not ids have kinds, the sample is the one of all paths at once."""
+    from radiograph.plans import lineage
+
+    links = [(f"l:{i}", f"o:{i % 60}", 9000 + i % 7, i % 3 > 0) for i in range(300)] + [(f"o:{i}", f"c:{i % 9}", 8000 + i, i % 5 > 0) for i in range(60)] + [(f"c:{i}", f"n:{i % 2}", 10000, True) for i in range(9)] + [("c:1", "c:1", 1, True), ("n:0", "l:3", 5000, True)]
+    edges = spark.createDataFrame(links, "source string, target string, c4 long, actual boolean")
+    most = {"1": 20, "2": 30, "3": 25}
+    want = {(r["hops"], r["path"], r["c4"] / 10000, int(r["actual"])) for r in paths.drawn(paths.labelled_paths(edges), "hops", F.col("path"), most).collect()}
+    sample = lambda: {(r["hops"], r["path"], r["p"], r["actual"]) for r in paths.path_sample(edges, most).collect()}
+    assert len(want) == 75 and sample() == want
+    monkeypatch.setattr(lineage, "PASS_ROWS", 100)
+    assert sample() == want
+    monkeypatch.setattr(lineage, "KINDS", 1)
+    assert sample() == want
