@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import bare_name, clean_id
+from ..plans import lineage
 from ..plans.lineage import cut, small
 from ..schema import DYNAMIC, EDGE_TYPES, ORM_CALL, STATIC_SQL, STRUCTURAL, UNRESOLVED_ID, UNRESOLVED_NAME
 
@@ -17,10 +20,17 @@ def propagation(edges: DataFrame) -> DataFrame:
     at the position of the first. What is aggregated are numbers of fixed width, the type as its place among EDGE_TYPES
     (others are `unknown`), so that Spark hashes instead of sorting all edges by two texts.
     """
+    return _collapsed(_ends(edges))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
     structural = F.col("type") == STRUCTURAL
-    ends = edges.select(
+    return edges.select(
         F.when(structural, F.col("source")).otherwise(F.col("target")).alias("u"), F.when(structural, F.col("target")).otherwise(F.col("source")).alias("v"), "c4", "type", "seq",
     )
+
+
+def _collapsed(ends: DataFrame) -> DataFrame:
     order = F.expr("cast(c4 as decimal(10,0)) * 10000000000000000000 - seq")
     code = F.array_position(F.array(*map(F.lit, EDGE_TYPES)), F.col("type")).cast("int")
     best = ends.groupBy("u", "v").agg(F.max("c4").alias("c4"), F.max_by(code, order).alias("code"), F.min("seq").alias("seq"))
@@ -67,6 +77,51 @@ def blast_radius(prop: DataFrame, roots: DataFrame, max_depth: int = 2, least_c4
     return out.select("root", "node", (-F.col("b.m")).alias("c4"), "b.depth", "b.types", "b.path")
 
 
+def reached_parts(edges: DataFrame, roots: DataFrame, max_depth: int = 2, least_c4: int = 0) -> Iterator[tuple[DataFrame, Callable[[str], Column]]]:
+    """blast_radius() of edges in parts by node, each with the condition that a column holds one of its nodes.
+
+    For what all nodes reach at once: no table of all collapsed edges is written or shuffled. A hop takes the edges whose
+    kinds of nodes lead on from the hop before, in passes by the node reached, so that a part can be reduced before the next
+    is made. Of a hop that isn't the last one each pass is written.
+    """
+    ends, kind = _ends(edges), "array<string>"
+    pairs = lineage.kind_pairs(ends, "u", "v")
+    every = None if pairs is not None else edges.count()
+    first = [r["k"] for r in roots.select(lineage.kind_of("root").alias("k")).distinct().limit(lineage.KINDS + 1).collect()]
+    kinds = set(first) if pairs is not None and len(first) <= lineage.KINDS else None if pairs is None else {a for a, _ in pairs}
+    layer = cut(roots.select("root", F.col("root").alias("node"), F.lit(10000).cast("long").alias("c4"), F.array("root").alias("path"), F.array().cast("array<long>").alias("seqs"), F.array().cast(kind).alias("types")).distinct())
+    found = None
+    for depth in range(1, max_depth + 1):
+        links, rows, ahead = ends, every, layer
+        if pairs is not None:
+            met = {x for x in pairs if x[0] in kinds and x[0] is not None and x[1] is not None}
+            starts, kinds, rows = {a for a, _ in met}, {b for _, b in met}, sum(pairs[x] for x in met)
+            links = ends.where(F.concat(lineage.kind_of("u"), F.lit("\n"), lineage.kind_of("v")).isin([f"{a}\n{b}" for a, b in sorted(met)]))
+            ahead = layer.where(lineage.kind_of("node").isin(sorted(starts)))
+        ahead, passes, layers = small(ahead), max(1, -(-rows // lineage.PASS_ROWS)), []
+        for i in range(passes):
+            mine = lambda node, i=i, passes=passes: lineage.part_of(node, passes, i)
+            # Dealt by their beginning, edges are collapsed and joined without another shuffle.
+            step = _collapsed(links.where(mine("v")).repartition("u")).withColumnRenamed("c4", "w4").withColumnRenamed("type", "step")
+            reached = ahead.join(step, F.col("node") == F.col("u")).where(~F.array_contains("path", F.col("v")))
+            reached = reached.select("root", F.col("v").alias("node"), F.expr("(c4 * w4 + 5000) div 10000").cast("long").alias("c4"), F.concat("path", F.array("v")).alias("path"), F.concat("seqs", F.array("seq")).alias("seqs"), F.concat("types", F.array("step")).alias("types"))
+            reached = reached.where(F.col("c4") >= least_c4).withColumn("depth", F.lit(depth))
+            before = None if found is None else found.where(mine("node"))
+            both = reached if before is None else reached.unionByName(before)
+            top = F.min(F.struct((-F.col("c4")).alias("m"), "depth", "seqs", "types", "path")).alias("b")
+            best = both.groupBy("root", "node").agg(top).select("root", "node", (-F.col("b.m")).alias("c4"), "b.path", "b.seqs", "b.types", "b.depth")
+            if depth == max_depth:
+                yield best.select("root", "node", "c4", "depth", "types", "path"), mine
+            else:
+                layers.append(cut(best.where(F.col("depth") == depth)))
+        if depth < max_depth:
+            layer = layers[0]
+            for more in layers[1:]:
+                layer = layer.unionByName(more)
+            found = layer if found is None else found.unionByName(layer)
+            layer = layer.drop("depth")
+
+
 def resolve_targets(nodes: DataFrame, wanted: DataFrame, single_pass: bool = False) -> DataFrame:
     """(target, id): the node that each wanted(target) means, in this order of ways, the first node by seq within a way.
 
@@ -177,14 +232,20 @@ def distinct_blind_spots(spots: DataFrame) -> DataFrame:
     return spots.groupBy("message").agg(F.min(F.struct("seq", "root", "kind", "severity")).alias("b"), F.count("*").alias("n")).select("message", "b.root", "b.kind", "b.severity", "n")
 
 
-def named_ends(reached: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def named_ends(reached: DataFrame, nodes: DataFrame, edges: DataFrame, mine: Callable[[str], Column] | None = None) -> DataFrame:
     """(root, node, type, name, c4, depth, listed) of a blast radius in the second dialect, which knows no tiers.
 
     A node that isn't known is a file or a table, by the end at which the first edge that has it names it. listed is
-    where a result shows it: functions, files or tables; partitions count in the total only.
+    where a result shows it: functions, files or tables; partitions count in the total only. `mine` is the condition of a
+    part of reached_parts().
     """
     ends = [edges.select(F.col(c).alias("node"), "seq", F.lit(kind).alias("kind")) for c, kind in (("source", "file"), ("target", "table"))]
+    if mine is not None:
+        nodes, ends = nodes.where(mine("id")), [e.where(mine("node")) for e in ends]
     told = small(cut(reached.select("node").distinct().join(nodes.select(F.col("id").alias("node")), "node", "left_anti")))
+    kinds = [r["k"] for r in told.select(lineage.kind_of("node").alias("k")).distinct().limit(lineage.KINDS + 1).collect()]
+    if len(kinds) <= lineage.KINDS:
+        ends = [e.where(lineage.kind_of("node").isin(kinds)) for e in ends]
     first = ends[0].unionByName(ends[1]).join(told, "node", "left_semi").groupBy("node").agg(F.min(F.struct("seq", "kind"))["kind"].alias("kind"))
     out = reached.join(nodes.select(F.col("id").alias("node"), "type", "name"), "node", "left").join(first, "node", "left")
     kind = F.coalesce("type", "kind")

@@ -11,7 +11,7 @@ from ..functions import names
 from ..operators import changes, clusters, graph, paths, reports, statistics
 from ..sources.tables import GRAPH_SQL, edges, nodes, table
 from ..streaming import maintained
-from .lineage import cut, shared_folder
+from .lineage import cut, shared_folder, union
 from .numbering import numbered, zipped
 from .sql import EVIDENCE, TIER
 
@@ -67,8 +67,9 @@ def _change_report(s: SparkSession, d: str) -> DataFrame:
 
 def _second(s: SparkSession, d: str) -> DataFrame:
     """Orders aren't among the nodes, so they are told by the edges."""
-    reached = graph.blast_radius(graph.propagation(edges(s, d)), _nation_roots(s, d), 2)
-    return graph.named_ends(reached, nodes(s, d).where("type <> 'function' and type <> 'view'"), edges(s, d))
+    known = nodes(s, d).where("type <> 'function' and type <> 'view'")
+    parts = graph.reached_parts(edges(s, d), _nation_roots(s, d), 2)
+    return union(cut(graph.named_ends(cut(reached.select("root", "node", "c4", "depth")), known, edges(s, d), mine)) for reached, mine in parts)
 
 
 def module_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -108,3 +108,22 @@ def test_sample_in_passes(spark, monkeypatch):
     assert sample() == want
     monkeypatch.setattr(lineage, "KINDS", 1)
     assert sample() == want
+
+
+def test_reached_in_parts(spark, monkeypatch):
+    """Parts by node hold together what one traversal finds, whatever their number and whether or not ids have kinds."""
+    from radiograph.plans import lineage
+
+    links = [(i, f"l:{i}", f"o:{i % 60}", "declared_fk", 10000) for i in range(300)] + [(1000 + i, f"l:{i % 200}", f"s:{i % 7}", "inferred_naming", 8000 + i % 5) for i in range(400)]
+    links += [(2000 + i, f"o:{i}", f"c:{i % 9}", "orm_call", 9800) for i in range(60)] + [(3000 + i, f"c:{i}", f"n:{i % 2}", "declared_fk", 10000) for i in range(9)] + [(4000 + i, f"s:{i}", f"n:{i % 2}", "inferred_naming", 9200) for i in range(7)]
+    links += [(5000, "s:1", "l:5", "structural_belongs_to", 10000), (5001, "n:0", "n:1", "other", 9000), (5002, "n:1", "n:0", "other", 9000)]
+    edges = spark.createDataFrame(links, "seq long, source string, target string, type string, c4 long")
+    roots = spark.createDataFrame([("n:0",), ("n:1",), ("s:3",), ("gone",)], "root string")
+    rows = lambda df: sorted(map(repr, df.select("root", "node", "c4", "depth", "types", "path").collect()))
+    for depth, least in ((1, 0), (3, 7500)):
+        want = rows(graph.blast_radius(graph.propagation(edges), roots, depth, least))
+        for most, kinds in ((10**8, 1000), (150, 1000), (150, 1)):
+            monkeypatch.setattr(lineage, "PASS_ROWS", most)
+            monkeypatch.setattr(lineage, "KINDS", kinds)
+            parts = [rows(df) for df, _ in graph.reached_parts(edges, roots, depth, least)]
+            assert sorted(r for p in parts for r in p) == want and (len(parts) > 1) == (most == 150)
